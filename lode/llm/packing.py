@@ -34,7 +34,18 @@ def cut(n: int, size: int = SIZE) -> list[tuple[int, int]]:
 
 
 def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
-    """Length counts -> (lengths of a sequence, number of such sequences), every piece used once."""
+    """Length counts -> (lengths of a sequence, number of such sequences), every piece used once.
+
+    Pairs and triples fill gaps that singles cannot, but use up short pieces that best fit could put
+    to better use where pieces over half a sequence abound. So they are also tried from half a
+    sequence on only, and left out; the plan with the fewest sequences is returned.
+    """
+    plans = [_plan(counts, size, least, most) for least, most in ((1, 3), (size // 2, 3), (1, 2), (size // 2, 2), (1, 1))]
+    return min(plans, key=lambda p: sum(n for _, n in p))
+
+
+def _plan(counts: dict[int, int], size: int, least: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """One plan: combinations of up to ``most`` pieces fill the gaps of lengths of at least ``least``."""
     have = np.zeros(size + 1, np.int64)
     for length, n in counts.items():
         have[length] += n
@@ -57,23 +68,21 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...]
 
     take(size)
     for length in range(size - 1, 0, -1):
-        if not have[length]:
-            continue
         gap = size - length
-        take(length, gap) if have[gap] or gap == length else None
-        if have[length]:
-            for a, b in pairs(gap, length):
-                take(length, a, b)
-                if not have[length]:
-                    break
-        if have[length]:
-            for a in (int(x) for x in np.flatnonzero(have[: min(length, gap - 2) + 1])[::-1] if x):
-                if not have[length]:
+        take(length, gap)
+        if length < least or not have[length]:
+            continue
+        for a, b in pairs(gap, length) if most > 1 else ():
+            take(length, a, b)
+            if not have[length]:
+                break
+        for a in (int(x) for x in np.flatnonzero(have[: min(length, gap - 2) + 1])[::-1] if x) if most > 2 and have[length] and gap > 2 else ():
+            for b, c in pairs(gap - a, a):
+                take(length, a, b, c)
+                if not have[length] or not have[a]:
                     break
-                for b, c in pairs(gap - a, a):
-                    take(length, a, b, c)
-                    if not have[length] or not have[a]:
-                        break
+            if not have[length]:
+                break
     while have.any():  # best fit for the rest: the longest piece, then the longest that still fits
         used = np.zeros(size + 1, np.int64)
         lengths, gap = [], size
