@@ -11,5 +11,25 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name, with its oracle."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+from . import ingest, markdown, search  # noqa: E402, F401  they register themselves
+
+
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    """Hybrid search of every benchmark item over all documents."""
+    return QUERIES["hybrid_search"](spark, sf_dir)
