@@ -19,6 +19,8 @@ from .common import Scratch, small
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 BLOCK_WORDS = 32
+#: Blocks of the smallest source, at least, unless it has fewer words: blocks shrink for small sources.
+LEAST_BLOCKS = 1_000
 SEED = 20_240_601
 #: Documents of a shard, on average.
 SHARD_DOCS = 4_000
@@ -71,8 +73,8 @@ def word_count(col) -> F.Column:
     return F.size(F.array_remove(F.split(F.coalesce(col, F.lit("")), _SPACE), "")).cast("long")
 
 
-def _quotas(spark: SparkSession, per_shard: DataFrame, block_words: int) -> tuple[DataFrame, DataFrame]:
-    """Per source: size and target. Per source and shard: words to take.
+def _quotas(spark: SparkSession, per_shard: DataFrame, block_words: int) -> tuple[DataFrame, DataFrame, int]:
+    """Per source: size and target. Per source and shard: words to take. And the words of a block.
 
     The first apportionment needs one row of each source on the driver: the number of sources, not
     of documents. The second runs per source, over its shards.
@@ -81,6 +83,7 @@ def _quotas(spark: SparkSession, per_shard: DataFrame, block_words: int) -> tupl
     rows = sorted(rows, key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [int(r["size"]) for r in rows]
     targets = capped_targets(sizes, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(rows))])
+    block_words = max(1, min([block_words, *(s // LEAST_BLOCKS for s in sizes if s)]))
     blocks = sainte_lague(np.array(targets), round(sum(sizes) / block_words))
     plan = spark.createDataFrame([(r["source"], s, t, int(b)) for r, s, t, b in zip(rows, sizes, targets, blocks, strict=True)], "source string, source_size long, target double, blocks long")
 
@@ -91,7 +94,7 @@ def _quotas(spark: SparkSession, per_shard: DataFrame, block_words: int) -> tupl
 
     join = per_shard["source"].eqNullSafe(plan["source"])
     shards = per_shard.join(F.broadcast(plan), join).select(per_shard["source"], "shard", "words", "blocks")
-    return plan.select("source", "source_size", "target"), shards.groupBy("source").applyInPandas(deal, "source string, shard int, words long, quota long")
+    return plan.select("source", "source_size", "target"), shards.groupBy("source").applyInPandas(deal, "source string, shard int, words long, quota long"), block_words
 
 
 def mix(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS) -> DataFrame:
@@ -113,7 +116,7 @@ def mix(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS, shard
         "sized",
     )
     per_shard = scratch.table(sized.groupBy("source", "shard").agg(F.sum("size").alias("words")), "per-shard")
-    plan, quotas = _quotas(spark, per_shard, block_words)
+    plan, quotas, block_words = _quotas(spark, per_shard, block_words)
     quotas = scratch.table(quotas, "quotas")
     q = quotas.withColumnRenamed("source", "q_source").withColumnRenamed("shard", "q_shard")
     order = "partition by source, shard order by order, doc_id, size rows between unbounded preceding and current row"
@@ -144,6 +147,8 @@ def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     cols = docs.columns
     got = mix(docs.withColumn("doc_id", F.struct(F.col("doc_id"), F.xxhash64("text").alias("h"))), seed)
     got = scratch.table(got.filter("taken > 0").select("doc_id.doc_id", "doc_id.h", "size", "taken", "place", "run_from", "run_words", "shard_words").dropDuplicates(["doc_id", "h", "place"]), "got")
+    if got.groupBy("doc_id", "h").count().filter("count > 1").limit(1).count():
+        docs = docs.dropDuplicates(["doc_id", "text"])  # rows that repeat have a place each, and come by it
     end, till = F.col("place") + F.col("size"), F.col("run_from") + F.col("run_words")
 
     def run(shift) -> F.Column:  # the words of a document within the run, in its own counting
