@@ -46,7 +46,7 @@ def html_escape(col: Column) -> Column:
 
 def url_sanitise(col: Column) -> Column:
     """Links with a script or data scheme lead to ``#``."""
-    return F.regexp_replace(col, '(?i)(<a\\b[^>]*\\bhref\\s*=\\s*")(?:javascript|vbscript|data):[^"]*(")', "$1#$2")
+    return F.regexp_replace(col, "(?i)(<a\\s[^>]*href\\s*=\\s*[\"'])(?:javascript|vbscript|data):[^\"']*([\"'])", "$1#$2")
 
 
 def strip_sheet_names(col: Column) -> Column:
@@ -64,14 +64,8 @@ def strip_page_numbers(col: Column) -> Column:
 
 
 def collapse_spaced_caps(col: Column) -> Column:
-    """Three or more single capitals between white space are joined; then runs of blanks become one.
-
-    Only blanks are removed inside a run, so a letter followed by a blank goes together with the next
-    if the run reaches three letters: seen from any of its letters.
-    """
-    letter = "[A-Z](?![A-Za-z0-9_])"
-    run = f"(?<![A-Za-z0-9_]){letter}(?:\\s+{letter}){{2,}}"
-    return F.regexp_replace(_join_runs(col, run), "  +", " ")
+    """Three or more single capitals, each one white space apart, lose their blanks; then runs of blanks become one."""
+    return F.regexp_replace(_join_runs(col, "\\b[A-Z](?:\\s[A-Z]){2,}\\b"), "  +", " ")
 
 
 def _join_runs(col: Column, run: str) -> Column:
@@ -86,14 +80,15 @@ def attach_captions(col: Column) -> Column:
     return F.regexp_replace(col, "(_[^_\n]+_)\\s*\n\n+(- \\*\\*)", "$1\n$2")
 
 
+# An image reference, and the mark that an extractor leaves for a picture.
 IMAGE = "!\\[([^\\]]*)\\]\\(([^)]+)\\)"
-OMITTED = "\\*\\*==>\\s*picture[^\n]*?intentionally omitted\\s*<==\\*\\*"
+OMITTED = "\\*?\\*?=+>.*?picture\\s*\\[.*?\\].*?omitted.*?<==\\*?\\*?"
 
 
 def rewrite_images(col: Column) -> Column:
     """Images become their alternative text in brackets, or a placeholder."""
     col = F.regexp_replace(col, "!\\[\\s*\\]\\([^)]+\\)", "[Image: visual content]")
-    col = F.regexp_replace(col, IMAGE, "[Image: $1]")
+    col = F.regexp_replace(col, "!\\[\\s*([^\\]]*?)\\s*\\]\\(([^)]+)\\)", "[Image: $1]")
     return F.regexp_replace(col, OMITTED, "[Image: visual content]")
 
 
@@ -120,7 +115,9 @@ def data_uri(col: Column) -> Column:
     return F.when(kind != "", F.struct(kind.alias("media_type"), F.regexp_extract(col, pattern, 2).alias("data")))
 
 
-PUNCTUATION = ".,!?;:'\"()[]{}"
+# Punctuation at a word's edges, and the wrapping of a matched word.
+PUNCTUATION = ".,!?;:\"'()[]{}—-"
+MARK = ('<span style="background-color:#F9E79F;padding:1px 3px;border-radius:3px;font-weight:600">', "</span>")
 
 
 def highlight(text: Column, matched: Column) -> Column:
@@ -133,7 +130,7 @@ def highlight(text: Column, matched: Column) -> Column:
 
     def mark(row: Column) -> Column:
         words = F.filter(F.split(row["text"], f"{SPACE}+"), lambda w: w != "")
-        marked = F.transform(words, lambda w: F.when(F.array_contains(row["matched"], bare(w)), F.concat(F.lit("<mark>"), w, F.lit("</mark>"))).otherwise(w))
+        marked = F.transform(words, lambda w: F.when(F.array_contains(row["matched"], bare(w)), F.concat(F.lit(MARK[0]), w, F.lit(MARK[1]))).otherwise(w))
         return F.when(F.size(row["matched"]) == 0, row["text"]).otherwise(F.array_join(marked, " "))
 
     # bound to a lambda variable, so that the matched tokens are found once and not for every word

@@ -285,12 +285,16 @@ def eval_metrics(hits: DataFrame, queries: DataFrame, n_chunks: int, n_chars: in
     )
 
 
+# The prompt around the chunks.
+CHUNK_HEAD = "--- Chunk #%d (score: %.2f) ---\n%s"
+PROMPT = "Use the following context to answer the question.\n\nContext:\n%s\n\nQuestion: %s\nAnswer:"
+
+
 def prompts(hits: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, prompt: the hits in rank order under a header each, then the question."""
-    part = F.concat(F.lit("[Chunk "), F.col("chunk_id").cast("string"), F.lit(" | score "), F.format_string("%.2f", "score"), F.lit("]\n"), F.col("text"))
-    context = hits.withColumn("_p", part).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "_p"))).alias("_parts"))
-    joined = F.array_join(F.transform("_parts", lambda x: x["_p"]), "\n\n")
-    return context.join(queries.select("query_id", F.col("text").alias("_q")), "query_id").select("query_id", F.concat(F.lit("Answer from the context.\n\nContext:\n"), joined, F.lit("\n\nQuestion: "), F.col("_q")).alias("prompt"))
+    """query_id, prompt: the hits in rank order under a header each, and the question."""
+    parts = hits.withColumn("_p", F.format_string(CHUNK_HEAD, "chunk_id", "score", "text")).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "_p"))).alias("_parts"))
+    parts = parts.withColumn("_c", F.array_join(F.transform("_parts", lambda x: x["_p"]), "\n"))
+    return parts.join(queries.select("query_id", F.col("text").alias("_q")), "query_id").select("query_id", F.format_string(PROMPT, "_c", "_q").alias("prompt"))
 
 
 def pca2(vectors: DataFrame) -> DataFrame:

@@ -92,7 +92,7 @@ def image_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("doc_id", X.rewrite_images(F.col("md")).alias("md"), X.count_images(F.col("md")).alias("images"))
 
 
-@query(f"{M} SELECT doc_id, regexp_replace(replace(md, 'C A P I T A L  X', 'CAPITALX'), '  +', ' ', 'g') AS md FROM m")
+@query(f"{M} SELECT doc_id, regexp_replace(replace(md, 'C A P I T A L  X', 'CAPITAL X'), '  +', ' ', 'g') AS md FROM m")
 def spaced_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("doc_id", X.collapse_spaced_caps(F.col("md")).alias("md"))
 
@@ -158,3 +158,15 @@ def convert_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{M} SELECT count(*) AS n_docs, count(*)::BIGINT AS tables, sum(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END)::BIGINT AS images FROM m")
 def pipeline_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convert(pages(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tables_found").alias("tables"), F.sum("images_found").cast("long").alias("images"))
+
+
+# The stages' messages.
+LOG = {"Extracted": "**Extracted** markdown (%s chars)", "Converted": "**Converted** %s table(s) to list format", "Processed": "**Processed** %s image reference(s)"}
+
+
+@query()
+def pipeline_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = convert(pages(spark, sf_dir))
+    c = c.select("doc_id", F.format_number("char_count", 0).alias("Extracted"), F.col("tables_found").cast("string").alias("Converted"), F.col("images_found").cast("string").alias("Processed"))
+    messages = F.array(*[F.struct(F.lit(k).alias("stage"), F.format_string(v, k).alias("message")) for k, v in LOG.items()])
+    return c.select("doc_id", F.explode(messages).alias("m")).select("doc_id", "m.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import dot, highlight, l2_normalise, token_estimate, tokenize
+from ..functions.text import dot, highlight, html_escape, l2_normalise, token_estimate, tokenize
 from ..operators import retrieval as R
 from .registry import query, table
 
@@ -225,8 +225,8 @@ def first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.search(chunks(spark, sf_dir), items(spark, sf_dir)).groupBy("query_id").agg(F.min("chunk_id").alias("first_match"))
 
 
-PROMPT = f"""WITH {HYBRID}, g AS (SELECT query_id, string_agg('[Chunk ' || chunk_id || ' | score ' || printf('%.2f', score) || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS c FROM top GROUP BY 1)
-    SELECT g.query_id, 'Answer from the context.' || chr(10) || chr(10) || 'Context:' || chr(10) || c || chr(10) || chr(10) || 'Question: ' || q.text AS prompt FROM g JOIN q ON q.query_id = g.query_id"""
+PROMPT = f"""WITH {HYBRID}, g AS (SELECT query_id, string_agg('--- Chunk #' || chunk_id || ' (score: ' || printf('%.2f', score) || ') ---' || chr(10) || text, chr(10) ORDER BY rank) AS c FROM top GROUP BY 1)
+    SELECT g.query_id, 'Use the following context to answer the question.' || chr(10) || chr(10) || 'Context:' || chr(10) || c || chr(10) || chr(10) || 'Question: ' || q.text || chr(10) || 'Answer:' AS prompt FROM g JOIN q ON q.query_id = g.query_id"""
 
 
 @query(PROMPT)
@@ -249,3 +249,17 @@ def l2_normalise_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def pca_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.pca2(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"))
+
+
+VIEW = f"""WITH {HYBRID}, f AS (SELECT doc_id AS chunk_id, text, doc_id IN (SELECT chunk_id FROM top) AS matched FROM documents ORDER BY doc_id LIMIT 200)
+    SELECT chunk_id, matched, (CASE WHEN matched THEN -1 ELSE chunk_id % 2 END)::INT AS colour,
+           replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS body FROM f"""
+
+
+@query(VIEW)
+def document_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 200 chunks, the feature's own limit: escaped, with match flag and alternating colour."""
+    c = chunks(spark, sf_dir)
+    found = R.search(c, items(spark, sf_dir)).select("chunk_id").distinct().withColumn("m", F.lit(True))
+    seen = c.orderBy("chunk_id").limit(200).join(found, "chunk_id", "left").withColumn("matched", F.coalesce("m", F.lit(False)))
+    return seen.select("chunk_id", "matched", F.when(F.col("matched"), -1).otherwise(F.col("chunk_id") % 2).cast("int").alias("colour"), html_escape(F.col("text")).alias("body"))
