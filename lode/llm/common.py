@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workers import ship
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -46,6 +48,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -79,7 +82,8 @@ def id_crc(col: Column) -> Column:
 
 
 def arrow_batches(spark: SparkSession, records: int = ARROW_RECORDS) -> None:
-    """Bounds the batches that go to Python workers; never raises a smaller setting."""
+    """Bounds the batches that go to Python workers, and lets these import the package; never raises a smaller setting."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > records or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, records)
