@@ -34,7 +34,7 @@ class Maker:
 
     def words(self, least: int, most: int) -> str:
         few = self.vocabulary if self.chance(0.95) else self.vocabulary[: self.r.integers(1, 4)]
-        text = " ".join(self.r.choice(few, self.r.integers(least, most + 1)))
+        text = " ".join([few[i] for i in self.r.integers(len(few), size=self.r.integers(least, most + 1))])
         return text[:1].upper() + text[1:] + self.pick([".", ".", "", "!", " &", ","])
 
     def page(self) -> tuple[str, list[tuple[str, int]]]:
