@@ -1,20 +1,31 @@
-"""Token ids of whole texts from a public tokenizer file, through a cache of words.
+"""Token ids of whole texts from a public tokenizer file, through caches of words and pieces.
 
-In a byte-level BPE a blank before a word always begins a new piece, unless white space stands before
-that blank. So a text cut before such blanks encodes to the same ids as the whole, and each distinct
-cut is encoded once by the tokenizers library and then looked up.
+In a byte-level BPE a blank between two words always begins a new piece, and a newline between two
+words is a piece of its own. So a text cut at single blanks and newlines encodes to the same ids as
+the whole. Each distinct cut is encoded once: it is split into pieces as the tokenizer does, and pieces
+that were not met before go to the tokenizers library. Texts with runs of white space are cut before
+blanks only, where no white space stands before.
 """
 
 from __future__ import annotations
 
+import gc
 import re
+from array import array
 
-import numpy as np
-
-#: Cuts held in a worker; bounds its memory. When full, the cache starts again.
-CACHE = 400_000
+#: Cuts and pieces held in a worker; bounds its memory. When full, a cache starts again.
+CUTS, PIECES = 500_000, 100_000
 _CUT = re.compile(r"(?<=\S)(?= )")
-_AFTER_SPACE = re.compile(r"\s ")
+#: Marks a cut that no blank stands before.
+BARE = "\0"
+#: What keeps a text from being cut at every blank and newline: runs of white space, other white space, BARE.
+_ASCII_ODD = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", BARE)
+_ODD = tuple(c for c in map(chr, range(0x80, 0x3001)) if c.isspace())
+#: The printable character that stands for each byte in a byte-level vocabulary: itself, or the next from U+0100 on.
+_PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTES = {b: chr(b) for b in _PRINTED} | {b: chr(0x100 + n) for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+#: A mark between a letter or digit and white space is a piece of its own, and is cut off.
+_MARK, _APART = re.compile(r"(?<=[^\W_])([,.])(?= |\n|\Z)"), f" {BARE}\\1"
 
 
 def default_path() -> str:
@@ -32,11 +43,17 @@ class Encoder:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # a piece needs the model alone: neither patterns nor special tokens apply inside it
+        self.model = self.tokenizer.model.tokenize
+        self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.cache: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -45,29 +62,66 @@ class Encoder:
             cls._of[path] = cls(path)
         return cls._of[path]
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
     @staticmethod
     def cuts(text: str) -> list[str]:
-        if _AFTER_SPACE.search(text):
-            return _CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + w for w in rest]]
+        """Keys of a text's cuts: a word stands for itself after a blank, BARE + word for the word alone."""
+        if any(x in text for x in _ASCII_ODD) or not text.isascii() and any(x in text for x in _ODD):
+            return [BARE + c for c in _CUT.split(text)]
+        return (BARE + _MARK.sub(_APART, text)).replace("\n", f" {BARE}\n {BARE}").split(" ")
+
+    def _pieces(self, key: str) -> list[str]:
+        """Pieces of a cut, as the tokenizer makes them; the usual cuts need no pattern."""
+        bare = key[:1] == BARE
+        word = key[1:] if bare else key
+        if word.isalpha():
+            return [word if bare else " " + word]
+        return self.split(word if bare else " " + word)
+
+    def _ids(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.model(piece.encode("utf-8", "replace").decode("latin-1").translate(_BYTES))]).tobytes()
+
+    def _learn(self, keys: list[str]) -> None:
+        """Adds keys to the cache; pieces of cuts that have several are kept apart, as they come in many cuts."""
+        known = self.pieces
+        for k in keys:
+            cut = self._pieces(k)
+            if len(cut) > 1:
+                for p in cut:
+                    if p not in known:
+                        known[p] = self._ids(p)
+                self.cache[k] = b"".join([known[p] for p in cut])
+            else:
+                self.cache[k] = self._ids(cut[0]) if cut else b""
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.cuts(t) for t in texts]
-        new: set[str] = set()
-        for c in cut:
-            new.update(c)
-        if len(self.cache) > CACHE:
+        if len(self.cache) > CUTS:
             self.cache.clear()
-        missing = [w for w in new if w not in self.cache]
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            self.cache.update(zip(part, self._ids(part), strict=True))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        if len(self.pieces) > PIECES:
+            self.pieces.clear()
+        collects = gc.isenabled()
+        gc.disable()  # many small objects, none of them in cycles
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        found, holes = [], []  # ids of each text's cuts, and where they are not known yet
+        for t in texts:
+            cut = self.cuts(t)
+            ids = list(map(self.cache.get, cut))
+            at = -1
+            try:
+                while True:
+                    at = ids.index(None, at + 1)
+                    holes.append((ids, at, cut[at]))
+            except ValueError:
+                found.append(ids)
+        self._learn(list({h[2] for h in holes}))
+        for ids, at, key in holes:
+            ids[at] = self.cache[key]
+        return [b"".join(ids) for ids in found]
 
 
 def text_groups(texts: list[str | None], most_chars: int = 2_000_000) -> list[tuple[int, list[str]]]:
