@@ -45,7 +45,8 @@ def encode_values(v: np.ndarray) -> tuple[bytes, bytes]:
     size = 1 + (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
     code = np.concatenate([size - 1, np.zeros(-len(v) % 4, np.uint8)]).reshape(-1, 4).astype(np.uint8)
     control = code[:, 0] | code[:, 1] << 2 | code[:, 2] << 4 | code[:, 3] << 6
-    data = v.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
+    wide = int(size.max(initial=1))
+    data = v.view(np.uint8).reshape(-1, 4)[:, :wide][np.arange(wide) < size[:, None]]
     return control.astype(np.uint8).tobytes(), data.tobytes()
 
 
@@ -54,16 +55,26 @@ def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
     size = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
     at = np.cumsum(size) - size
     raw = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(4, np.uint8)])
-    out = np.zeros(n, np.uint32)
-    for k in range(4):
-        out |= np.where(size > k, raw[np.minimum(at + k, len(raw) - 1)], 0).astype(np.uint32) << np.uint32(8 * k)
+    out = raw[at].astype(np.uint32)
+    for k in range(1, 4):
+        longer = np.flatnonzero(size > k)
+        if not len(longer):
+            break
+        out[longer] |= raw[at[longer] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
 def encode_block(doc_ids: list[int | None], docs: list[bytes]) -> bytes:
     """A block of documents given as little-endian unsigned 32-bit ids."""
     ids = np.frombuffer(b"".join(docs), "<u4")
-    table, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    if len(ids) and ids.max() < 1 << 20:  # vocabularies are small: counting needs no sort of the ids
+        counts = np.bincount(ids)
+        table = np.flatnonzero(counts).astype(np.uint32)
+        place = np.zeros(len(counts), np.uint32)
+        place[table] = np.arange(len(table), dtype=np.uint32)
+        inverse, counts = place[ids], counts[table]
+    else:
+        table, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
     order = np.lexsort((table, -counts))
     rank = np.empty(len(order), np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
