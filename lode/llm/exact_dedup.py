@@ -22,8 +22,12 @@ BLOCK_BYTES = 4096
 
 
 def _numbered(keys: DataFrame, *cols: str) -> DataFrame:
-    """Distinct keys in sorted order, each with its own integer name."""
-    return keys.select(*cols).distinct().orderBy(*cols).withColumn("name", F.monotonically_increasing_id())
+    """Distinct keys, each with its own integer name: sorted and numbered in each partition of the keys.
+
+    distinct() has already dealt the keys by their hash, so equal keys are in one partition and the
+    sort needs no shuffle of its own, nor a sample of keys on the driver.
+    """
+    return keys.select(*cols).distinct().sortWithinPartitions(*cols).withColumn("name", F.monotonically_increasing_id())
 
 
 def block_identities(cand: DataFrame, scratch: Scratch, block_bytes: int = BLOCK_BYTES) -> DataFrame:
