@@ -22,8 +22,8 @@ BLOCK_WORDS = 32
 #: Blocks of the smallest source, at least, unless it has fewer words: blocks shrink for small sources.
 LEAST_BLOCKS = 1_000
 SEED = 20_240_601
-#: Documents of a shard, on average.
-SHARD_DOCS = 4_000
+#: Documents of a shard, on average; a source has as many shards as its documents need.
+SHARD_DOCS = 1_000
 _SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 
 
@@ -109,12 +109,11 @@ def mix(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS, shard
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
-    n_docs = docs.count()
-    n_shards = max(1, -(-n_docs // shard_docs))
-    sized = scratch.table(
-        docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id")).alias("order")).withColumn("shard", F.pmod(F.col("order"), F.lit(n_shards)).cast("int")),
-        "sized",
-    )
+    shards = docs.groupBy(F.col("source").cast("string").alias("s_source")).agg(F.ceil(F.count(F.lit(1)) / F.lit(shard_docs)).alias("n_shards"))
+    shards = scratch.table(shards, "shards")  # a row per source
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id")).alias("order"))
+    rows = rows.join(small(shards, shards.count()), rows.source.eqNullSafe(shards.s_source))
+    sized = scratch.table(rows.select("doc_id", "source", "size", "order", F.pmod("order", "n_shards").cast("int").alias("shard")), "sized")
     per_shard = scratch.table(sized.groupBy("source", "shard").agg(F.sum("size").alias("words")), "per-shard")
     plan, quotas, block_words = _quotas(spark, per_shard, block_words)
     quotas = scratch.table(quotas, "quotas")
