@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import LOWER, UPPER, Scratch, arrow_batches, small
 from .components import components
@@ -229,6 +230,13 @@ def near_links(points: DataFrame, n_points: int, scratch: Scratch, chunk: int =
     return placed.repartition("anchor", "p", "q").sortWithinPartitions("anchor", "p", "q", "visit").mapInArrow(_compared, "u long, v long").distinct()
 
 
+def rooted(points: DataFrame, scratch: Scratch, chunk: int = CHUNK, few: int = FEW_POINTS) -> DataFrame:
+    """Distinct fingerprints (fp, least) -> fp, least, root: equal roots are one component."""
+    edges = scratch.table(near_links(points, points.count(), scratch, chunk, few), "edges")
+    roots = scratch.table(components(edges, scratch), "roots")
+    return points.join(roots, points.fp == roots.u, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_dedup(docs: DataFrame, chunk: int = CHUNK, few: int = FEW_POINTS) -> DataFrame:
     """(doc_id, text, ...) -> doc_id, fingerprint, component_id, one row per input row.
 
@@ -242,16 +250,34 @@ def near_dedup(docs: DataFrame, chunk: int = CHUNK, few: int = FEW_POINTS) -> Da
     scratch = Scratch(spark, "near-dedup")
     fps = scratch.table(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints, "doc_id long, fp long"), "fps")
     points = scratch.table(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
-    edges = scratch.table(near_links(points, points.count(), scratch, chunk, few), "edges")
-    roots = scratch.table(components(edges, scratch), "roots")
-    rooted = points.join(roots, points.fp == roots.u, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = scratch.table(rooted.join(least, "root").select("fp", "component_id"), "by-fp")
+    found = rooted(points, scratch, chunk, few)
+    least = found.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_fp = scratch.table(found.join(least, "root").select("fp", "component_id"), "by-fp")
     return fps.join(by_fp, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component, the row or rows with its smallest doc_id."""
-    scratch = Scratch(docs.sparkSession, "near-copies")
-    gone = scratch.table(near_dedup(docs).filter("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(small(gone, gone.count()), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """The rows of ``docs`` that stay: of each component one row, one with its smallest doc_id.
+
+    A row goes for what its own text is like, whatever other rows have its id: rows are numbered and
+    written with their fingerprints, and chosen by number. A null id is taken where there is no other.
+    """
+    spark = docs.sparkSession
+    arrow_batches(spark)
+    scratch = Scratch(spark, "near-copies")
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.array([simhash(t) for t in b.column(at).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64), pa.int64())], names=[*b.schema.names, "_fp"])
+
+    printed = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_fp", LongType())]))
+    rows = scratch.table(printed.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    doc_id = F.col("doc_id").cast("long")
+    first = F.min(F.struct(doc_id.isNull().alias("none"), doc_id.alias("id"), "_row"))
+    found = rooted(scratch.table(rows.groupBy(F.col("_fp").alias("fp")).agg(first.alias("least")), "points"), scratch)
+    stays = found.groupBy("root").agg(F.min("least")["_row"].alias("stays"))
+    by_fp = scratch.table(found.join(stays, "root").select("fp", "stays"), "by-fp")
+    gone = scratch.table(rows.select("_fp", "_row").join(by_fp, F.col("_fp") == F.col("fp")).filter("_row <> stays").select(F.col("_row").alias("_gone")), "gone")
+    return rows.join(small(gone, gone.count()), F.col("_row") == F.col("_gone"), "left_anti").select(*docs.columns)

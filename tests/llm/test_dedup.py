@@ -90,6 +90,25 @@ def test_near_empty(empty):
     assert near_dedup(empty).collect() == [] and drop_near_copies(empty).collect() == []
 
 
+def test_near_drop_decides_by_row(spark, odd):
+    """Repeated and null ids: a row stays or goes by its own text; one row of each component stays."""
+    text = [" ".join(f"{w}{i}" for i in range(300)) for w in "abc"]
+    near = text[0] + " tail"
+    assert 0 < (simhash(text[0]) ^ simhash(near)).bit_count() <= 4
+    rows = [(3, text[0]), (7, near), (7, text[1]), (None, near + " x"), (None, text[2])]
+    left = drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, left)) == sorted(f"Row(doc_id={i}, text={t!r})" for i, t in (rows[0], rows[2], rows[4]))
+
+    rows = odd.collect()
+    comp = brute_components([brute_simhash(r.text) for r in rows])
+    left = drop_near_copies(odd)
+    assert left.columns == odd.columns
+    least = {}
+    for r, c in zip(rows, comp, strict=True):
+        least[c] = min([x for x in (least.get(c), r.doc_id) if x is not None], default=None)
+    assert sorted(str(r.doc_id) for r in left.collect()) == sorted(map(str, least.values()))
+
+
 def test_near_dense_group_in_chunks(spark):
     """Chains and balls of fingerprints, with buckets dealt into chunks, against all pairs."""
     from lode.llm.common import Scratch
