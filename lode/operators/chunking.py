@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.text import dot, sentences
+from .retrieval import DIM, hashed_counts
 
 SIZE, OVERLAP, SEMANTIC_THRESHOLD, PREFIX = 400, 50, 0.5, 80
 METHODS = ("Recursive", "By Sentence", "By Markdown Headers", "Semantic")
@@ -145,11 +147,41 @@ def _udf(split, size: int, overlap: int):
     return run
 
 
-def chunk_texts(text: Column, method: str = "Recursive", size: int = SIZE, overlap: int = OVERLAP) -> Column:
-    """array of chunk texts; an unknown method is Recursive."""
+def semantic(text: Column, threshold: float = SEMANTIC_THRESHOLD) -> Column:
+    """Runs of sentences whose neighbours' stand-in embeddings are alike; the rule of ``semantic_groups``, row by row.
+
+    One sentence or none: the text as it is, or nothing if it is blank.
+    """
+
+    @pandas_udf(ArrayType(StringType()))
+    def run(parts: pd.Series) -> pd.Series:
+        cache: dict[str, int] = {}
+
+        def grouped(found: list[str]) -> list[str]:
+            groups: list[list[str]] = []
+            last = None
+            for s in found:
+                v = hashed_counts(s, cache, DIM)
+                v /= np.linalg.norm(v) or 1.0
+                if last is None or round(float(last @ v), 9) < threshold:
+                    groups.append([])
+                groups[-1].append(s)
+                last = v
+            return [" ".join(g) for g in groups]
+
+        return parts.map(grouped)
+
+    parts = sentences(text)
+    return F.when(F.size(parts) > 1, run(parts)).when(F.size(parts) == 1, F.array(text)).otherwise(F.array().cast("array<string>"))
+
+
+def chunk_texts(text: Column, method: str = "Recursive", size: int = SIZE, overlap: int = OVERLAP, threshold: float = SEMANTIC_THRESHOLD) -> Column:
+    """array of chunk texts; an unknown method is Recursive. Semantic checks size and overlap and uses neither."""
     validate(size, overlap)
     if method == "By Sentence":
         return by_sentence(text, size, overlap)
+    if method == "Semantic":
+        return semantic(text, threshold)
     return _udf(split_headers if method == "By Markdown Headers" else split_recursive, size, overlap)(text)
 
 
@@ -180,10 +212,10 @@ def with_offsets(text: Column, chunks: Column) -> Column:
     return F.aggregate(chunks, start, step)["out"]
 
 
-def chunk_documents(docs: DataFrame, method: str = "Recursive", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+def chunk_documents(docs: DataFrame, method: str = "Recursive", size: int = SIZE, overlap: int = OVERLAP, threshold: float = SEMANTIC_THRESHOLD) -> DataFrame:
     """(doc_id, text, ...) -> doc_id, chunk_id, text, start_char, end_char. No shuffle: a projection and an explode."""
     validate(size, overlap)
-    rows = docs.select("doc_id", "text", chunk_texts(F.col("text"), method, size, overlap).alias("_c"))
+    rows = docs.select("doc_id", "text", chunk_texts(F.col("text"), method, size, overlap, threshold).alias("_c"))
     return rows.select("doc_id", F.explode(with_offsets(F.col("text"), F.col("_c"))).alias("c")).select("doc_id", "c.*")
 
 

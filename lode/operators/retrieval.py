@@ -95,10 +95,23 @@ def hashed_embedding(text: Column, dim: int = DIM) -> Column:
     return l2_normalise(F.when(F.size(buckets) == 0, zeros).otherwise(counts))
 
 
-def embed(rows: DataFrame, text: str = "text", to: str = "embedding", dim: int = DIM) -> DataFrame:
-    """The stand-in for whole tables, over Arrow batches with a cache of token buckets."""
+def hashed_counts(text: str | None, cache: dict[str, int], dim: int = DIM) -> np.ndarray:
+    """Token counts by hashed bucket; ``cache`` keeps tokens' buckets."""
     import hashlib
 
+    ids = []
+    for w in (text or "").lower().split():
+        k = cache.get(w)
+        if k is None:
+            if len(cache) > 500_000:
+                cache.clear()
+            k = cache[w] = int(hashlib.md5(w.encode()).hexdigest()[:7], 16) % dim
+        ids.append(k)
+    return np.bincount(np.array(ids, int), minlength=dim).astype(float)
+
+
+def embed(rows: DataFrame, text: str = "text", to: str = "embedding", dim: int = DIM) -> DataFrame:
+    """The stand-in for whole tables, over Arrow batches with a cache of token buckets."""
     fields = StructType([*rows.schema.fields, StructField(to, ArrayType(DoubleType()))])
     at = rows.columns.index(text)
 
@@ -107,15 +120,7 @@ def embed(rows: DataFrame, text: str = "text", to: str = "embedding", dim: int =
         for b in batches:
             out = np.zeros((b.num_rows, dim))
             for i, t in enumerate(b.column(at).to_pylist()):
-                ids = []
-                for w in (t or "").lower().split():
-                    k = cache.get(w)
-                    if k is None:
-                        if len(cache) > 500_000:
-                            cache.clear()
-                        k = cache[w] = int(hashlib.md5(w.encode()).hexdigest()[:7], 16) % dim
-                    ids.append(k)
-                v = np.bincount(np.array(ids, int), minlength=dim).astype(float)
+                v = hashed_counts(t, cache, dim)
                 out[i] = v / (np.linalg.norm(v) or 1.0)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, dim * (b.num_rows + 1), dim), pa.int32()), pa.array(out.reshape(-1)))
             yield pa.RecordBatch.from_arrays([*b.columns, flat], names=[*b.schema.names, to])

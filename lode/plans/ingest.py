@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,8 +70,8 @@ def chunk_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def chunk_compare_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    parts = [docs.select(F.lit(m).alias("method"), F.explode(C.chunk_texts(F.col("text"), m)).alias("text")) for m in C.METHODS[:3]]
-    return C.summarise(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    parts = [docs.select(F.lit(m).alias("method"), F.explode(C.chunk_texts(F.col("text"), m)).alias("text")) for m in C.METHODS]
+    return C.summarise(reduce(DataFrame.unionByName, parts))
 
 
 @query(f"WITH {PACK} SELECT doc_id, i::INT AS chunk_id, replace(substr(cs[i + 1], 1, 140), chr(10), ' ') AS preview, length(cs[i + 1])::INT AS chars FROM (SELECT doc_id, cs, unnest(range(0, len(cs))) AS i FROM c)")

@@ -111,3 +111,19 @@ def test_messages(spark):
     df = spark.createDataFrame([(blocks,)], f"b {M.BLOCKS}")
     got = df.select(M.translate_blocks(F.col("b")).alias("o"), M.first_text(M.translate_blocks(F.col("b"))).alias("t")).first()
     assert [(x.type, x.source) for x in got.o] == [("text", None), ("image", "base64"), ("image", "url")] and got.t == "hi"
+
+
+def test_semantic_chunks_of_documents(spark):
+    from lode.functions.text import sentences
+    from lode.plans.ingest import chunk_compare_all
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(60)
+    one = spark.createDataFrame([(-1, " one sentence only. "), (-2, "  "), (-3, None), (-4, "a b. a b. c d. c d."), (-4, "x y. x y. z.")], "doc_id long, text string")
+    got = C.chunk_documents(one, "Semantic").collect()
+    assert sorted((r.doc_id, r.chunk_id, r.text) for r in got) == [(-4, 0, "a b. a b."), (-4, 0, "x y. x y."), (-4, 1, "c d. c d."), (-4, 1, "z."), (-1, 0, " one sentence only. ")]
+    parts = docs.select("doc_id", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
+    want = C.semantic_groups(R.embed(parts, "sentence"), "doc_id", "pos", "sentence", "embedding", 0.3)
+    several = docs.filter(F.size(sentences(F.col("text"))) > 1)
+    got = C.chunk_documents(several, "Semantic", threshold=0.3).select("doc_id", "chunk_id", "text")
+    assert 0 < got.exceptAll(want).count() + got.count() == want.join(several, "doc_id", "left_semi").count()
+    assert {r.method for r in chunk_compare_all(spark, "/root/testdata/sf0.001").collect()} == set(C.METHODS)
