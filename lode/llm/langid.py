@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_batches, id_crc
+from .common import arrow_batches, id_crc, small
 
 BUCKETS = 1 << 15
 #: Documents that a language is learned from, about: rows are chosen by a hash of their id.
 SAMPLE_DOCS = 2_000
-#: Languages learned, the most frequent ones; bounds the model.
-MOST_LANGS = 256
+#: Languages up to which the model is a dense table; beyond, counts that are not zero are kept.
+DENSE_LANGS = 256
 EM_ROUNDS = 12
 SMOOTHING = 0.5
 #: Price of a language in the penalised likelihood, in units of log(words).
@@ -66,34 +66,64 @@ def _slices(text: str) -> Iterator[str]:
     yield text[at:]
 
 
+class SparseTable:
+    """log-probabilities by (bucket, language): what a bucket without counts has, and what counts add to it."""
+
+    def __init__(self, bucket: np.ndarray, lang: np.ndarray, n: np.ndarray, buckets: int, langs: int):
+        total = np.bincount(lang, n, langs) + SMOOTHING * buckets
+        order = np.argsort(bucket, kind="stable")
+        self.lang, self.base = lang[order].astype(np.int32), np.log(SMOOTHING / total).astype(np.float32)
+        self.more = np.log1p(n[order] / SMOOTHING).astype(np.float32)
+        self.starts = np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=buckets))))
+
+    def __getitem__(self, buckets: np.ndarray) -> np.ndarray:
+        """Dense rows of the buckets asked for."""
+        out = np.tile(self.base, (len(buckets), 1))
+        for row, b in zip(out, buckets.tolist(), strict=True):
+            at = slice(self.starts[b], self.starts[b + 1])
+            row[self.lang[at]] += self.more[at]
+        return out
+
+
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, buckets: int = BUCKETS) -> dict:
-    """{"langs": [...], "logp": (buckets, langs)} from text and non-null lang of the rows not held out.
+    """{"langs": [...], "logp": rows of langs by bucket} from text and non-null lang of the rows not held out.
 
-    About ``sample_docs`` whole documents of each language, chosen by a hash of doc_id, are counted on
-    the executors; the driver gets at most buckets x languages counts.
+    Every language is learned. About ``sample_docs`` whole documents of each, chosen by a hash of doc_id,
+    are counted on the executors; the driver gets the counts that are not zero.
     """
-    arrow_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    arrow_batches(spark)
     train = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_crc(F.col("doc_id")) % FOLDS != HELD_OUT)).select("doc_id", "lang", "text")
-    sizes = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
-    langs = sorted(r["lang"] for r in sizes)
+    sizes = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}
+    langs = sorted(sizes)
     if not langs:
         return {"langs": [], "logp": np.zeros((buckets, 0), np.float32)}
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, sample_docs / r["count"])))])
-    chosen = train.filter(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    shares = spark.createDataFrame([(x, i, min(1.0, sample_docs / sizes[x])) for i, x in enumerate(langs)], "lang string, k int, share double")
+    chosen = train.join(small(shares, len(langs)), "lang").filter(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[str, np.ndarray] = {}
+        got: dict[int, np.ndarray] = {}
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            for k, n in got.items():
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["k", "bucket", "n"])
+            got.clear()
+
         for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if k not in got and len(got) >= DENSE_LANGS:
+                    yield from counted()
                 for part in _slices(text):
-                    got[lang] = got.get(lang, 0) + np.bincount(_grams(part)[0], minlength=buckets)
-        for lang, n in got.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(n[at])], names=["lang", "bucket", "n"])
+                    got[k] = got.get(k, 0) + np.bincount(_grams(part)[0], minlength=buckets)
+        yield from counted()
 
-    table = chosen.select("lang", "text").mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    table = chosen.select("k", "text").mapInArrow(count, "k int, bucket int, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    bucket, k, n = (table[c].to_numpy(int) for c in ("bucket", "k", "n"))
+    if len(langs) > DENSE_LANGS:
+        return {"langs": langs, "logp": SparseTable(bucket, k, n, buckets, len(langs))}
     counts = np.zeros((buckets, len(langs)))
-    counts[table["bucket"].to_numpy(int), table["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(int)] = table["n"]
+    counts[bucket, k] = n
     counts += SMOOTHING
     return {"langs": langs, "logp": np.log(counts / counts.sum(0)).astype(np.float32)}
 
@@ -123,8 +153,11 @@ def infer(text: str | None, model: dict) -> tuple[str, float, int]:
     rows = []
     for part in _slices(text):
         gram, begins = _grams(part)
-        if len(gram):
-            rows.append(np.add.reduceat(logp[gram], begins, axis=0, dtype=np.float32))
+        # so many words at a time that the rows of their trigrams take bounded memory
+        step = len(begins) if len(langs) <= DENSE_LANGS else 256
+        for at in range(0, len(begins), step or 1):
+            own = slice(begins[at], begins[at + step] if at + step < len(begins) else len(gram))
+            rows.append(np.add.reduceat(logp[gram[own]], begins[at : at + step] - begins[at], axis=0, dtype=np.float32))
     if not rows:
         return "und", 0.0, 0
     ll = np.concatenate(rows)
@@ -148,7 +181,7 @@ def infer(text: str | None, model: dict) -> tuple[str, float, int]:
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, text, ...) -> doc_id, lang_pred, score, n_langs: one row per input row, ids as they come."""
     arrow_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages floats, bounded by MOST_LANGS
+    held = docs.sparkSession.sparkContext.broadcast(model)  # dense or sparse by the number of languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value

@@ -3,7 +3,7 @@ from collections import Counter
 
 import numpy as np
 
-from lode.llm.langid import identify, infer, keep_identified, learn
+from lode.llm.langid import SparseTable, identify, infer, keep_identified, learn
 
 
 def test_held_out_accuracy(spark):
@@ -34,3 +34,30 @@ def test_odd(odd, empty):
     kept = keep_identified(odd)
     assert kept.columns == odd.columns and all(r.text and r.text.strip() for r in kept.collect())
     assert identify(empty).collect() == [] and keep_identified(empty).collect() == []
+
+
+def test_every_language_is_learned(spark):
+    """More languages than the dense table holds, the last ones with a document each."""
+    rng = np.random.default_rng(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows, i = [], 0
+    for k in range(300):
+        words = ["".join(rng.choice(list(letters), 7)) for _ in range(8)]
+        for _ in range(2 if k < 256 else 1):
+            while zlib.crc32(str(i).encode()) % 4 == 2:
+                i += 1
+            rows.append((i, " ".join(words), f"l{k:03}"))
+            i += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = learn(docs)
+    assert model["langs"] == [f"l{k:03}" for k in range(300)]
+    assert [infer(r[1], model)[0] for r in rows[-44:]] == [r[2] for r in rows[-44:]]
+
+
+def test_sparse_table_equals_dense():
+    rng = np.random.default_rng(4)
+    counts = rng.integers(0, 3, (50, 7))
+    at = np.nonzero(counts)
+    dense = np.log((counts + 0.5) / (counts + 0.5).sum(0))
+    table = SparseTable(*at, counts[at], 50, 7)
+    assert np.allclose(table[np.array([3, 49, 0, 3])], dense[[3, 49, 0, 3]], atol=1e-5)
