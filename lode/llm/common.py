@@ -1,16 +1,11 @@
-"""Helpers shared by the training-data operators: the shared scratch folder, size-checked
-broadcasts and ASCII folding."""
+"""Helpers shared by the training-data operators: size-checked broadcasts and ASCII folding."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch, shared_dir  # noqa: F401
 from ..workers import ship
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -22,50 +17,6 @@ BROADCAST_ROWS = 200_000
 ARROW_RECORDS = 1_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where it is unset, a local session gets a temporary folder of its own; a cluster session is
-    refused, as its executors could not see such a folder.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    path = tempfile.mkdtemp(prefix="lode-")
-    atexit.register(shutil.rmtree, path, True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{path}")
-    return f"file://{path}"
-
-
-class Scratch:
-    """Written tables of one operator run, in a folder of their own below the shared folder.
-
-    A table cuts lineage as a checkpoint does, and survives the loss of executors. ``drop`` frees
-    one that no later plan reads; what a result still reads stays until the session's owner clears
-    the shared folder.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        ship(spark)
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if its measured number of rows is within the bound."""
     return F.broadcast(df) if rows <= most else df

@@ -6,24 +6,30 @@ are rows (query_id, text). All statistics are per corpus, all rankings per query
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions.text import dot, l2_normalise, tokenize
+from ..scratch import Scratch
 
 # Defaults of the search.
 TOP_K, BM25_WEIGHT, VECTOR_WEIGHT, SCORE_THRESHOLD, CANDIDATES, DEDUP = 5, 0.4, 0.6, 0.0, 50, 1.0
 HYBRID, VECTOR, LEXICAL = "Hybrid", "Vector (KNN)", "Lexical (BM25)"
 K1, B, EPSILON = 1.5, 0.75, 0.25
 DIM = 64
-#: Queries whose vectors are sent to the executors at once; more are refused, to be run in blocks.
+#: Queries whose vectors are sent to the executors at once; more are run in blocks.
 MOST_QUERIES = 10_000
+#: Queries that are scored against a batch at once; bounds the scores held.
+TILE = 512
 BROADCAST_ROWS = 500_000
 
 
@@ -133,10 +139,29 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 
     The stated queries go to every task as one matrix; each task keeps its own k best per query, so
     what is shuffled is k rows per query and task, never a score of every pair. Ties go to smaller ids.
+    Queries beyond MOST_QUERIES are run in blocks, each block's hits a written table.
     """
-    rows = queries.select("query_id", "embedding").limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"over {MOST_QUERIES} queries; run them in blocks")
+    queries, vectors = queries.select("query_id", "embedding"), vectors.filter("embedding is not null").select(F.col("id").cast("long"), "embedding")
+    rows = queries.limit(MOST_QUERIES + 1).collect()
+    if len(rows) <= MOST_QUERIES:
+        return _best(_block_knn(rows, vectors, k)[0], k)
+    scratch = Scratch(vectors.sparkSession, "knn")
+    vectors, queries = scratch.table(vectors, "vectors"), scratch.table(queries, "queries")
+    left, found = queries.toLocalIterator(), []
+    while rows := list(itertools.islice(left, MOST_QUERIES)):
+        hits, matrix = _block_knn(rows, vectors, k)
+        found.append(scratch.table(_best(hits, k).drop("rank"), f"block-{len(found)}"))
+        matrix.destroy()
+    # a query_id that several rows have may stand in several blocks
+    return _best(reduce(DataFrame.unionByName, found), k)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    return found.withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, id)")).filter(F.col("rank") <= k)
+
+
+def _block_knn(rows: list, vectors: DataFrame, k: int) -> tuple[DataFrame, Broadcast]:
+    """query_id, id, score of each task's k best for each of ``rows``; the matrix that was sent."""
     names = [r["query_id"] for r in rows]
     matrix = vectors.sparkSession.sparkContext.broadcast(np.array([r["embedding"] for r in rows], float).reshape(len(rows), -1))
 
@@ -151,15 +176,15 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
             if not b.num_rows or not len(q):
                 continue
             x = np.asarray(b.column(1).flatten().to_numpy(zero_copy_only=False), float).reshape(b.num_rows, -1)
-            ids, s = b.column(0).to_numpy(zero_copy_only=False), np.round(q @ x.T, 6)
-            for i in range(len(q)):
-                held[i] = best(np.concatenate([held[i][0], ids]), np.concatenate([held[i][1], s[i]]))
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            for at in range(0, len(q), TILE):
+                for i, s in enumerate(np.round(q[at : at + TILE] @ x.T, 6), at):
+                    held[i] = best(np.concatenate([held[i][0], ids]), np.concatenate([held[i][1], s]))
         for name, (ids, s) in zip(names, held, strict=True):
             if len(ids):
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids), pa.int64()), pa.array(ids, pa.int64()), pa.array(s)], names=["query_id", "id", "score"])
 
-    found = vectors.filter("embedding is not null").select(F.col("id").cast("long"), "embedding").mapInArrow(run, "query_id long, id long, score double")
-    return found.withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, id)")).filter(F.col("rank") <= k)
+    return vectors.mapInArrow(run, "query_id long, id long, score double"), matrix
 
 
 # --- search ---

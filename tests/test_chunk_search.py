@@ -127,3 +127,13 @@ def test_semantic_chunks_of_documents(spark):
     got = C.chunk_documents(several, "Semantic", threshold=0.3).select("doc_id", "chunk_id", "text")
     assert 0 < got.exceptAll(want).count() + got.count() == want.join(several, "doc_id", "left_semi").count()
     assert {r.method for r in chunk_compare_all(spark, "/root/testdata/sf0.001").collect()} == set(C.METHODS)
+
+
+def test_knn_runs_queries_in_blocks(spark, monkeypatch):
+    v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    q = v.filter("id < 11").withColumnRenamed("id", "query_id")
+    q = q.unionByName(q.filter("query_id = 2"))
+    want = R.knn(q, v, 4).collect()
+    monkeypatch.setattr(R, "MOST_QUERIES", 4)
+    got = R.knn(q, v, 4).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len({r.query_id for r in got}) == 11
