@@ -17,7 +17,7 @@ from lode.llm.packing import pack
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents of which at least half is in the language predicted; ``und`` goes."""
+    """Keeps documents in one or more known languages; ``und`` goes."""
     return keep_identified(docs)
 
 

@@ -203,8 +203,8 @@ def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     return out.select("doc_id", (id_crc(F.col("doc_id")) % FOLDS == HELD_OUT).alias("held_out"), "lang_pred", "score", "n_langs")
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose language is known: not ``und``, and at least half of the words in it.
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose language is known: not ``und``, in however many languages.
 
     The text is scored in place, so that rows need not be joined back by id.
     """
@@ -216,6 +216,6 @@ def keep_identified(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [infer(t.as_py(), held.value) for t in b.column(at)]
-            yield b.filter(pa.array([g[0] != "und" and g[1] >= min_score for g in got], pa.bool_()))
+            yield b.filter(pa.array([g[0] != "und" for g in got], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -2,6 +2,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lode.llm.langid import SparseTable, identify, infer, keep_identified, learn
 
@@ -61,3 +62,15 @@ def test_sparse_table_equals_dense():
     dense = np.log((counts + 0.5) / (counts + 0.5).sum(0))
     table = SparseTable(*at, counts[at], 50, 7)
     assert np.allclose(table[np.array([3, 49, 0, 3])], dense[[3, 49, 0, 3]], atol=1e-5)
+
+
+def test_document_in_three_languages_is_kept(sample):
+    by = {}
+    for r in sample.collect():
+        by.setdefault(r.lang, []).append(r.text)
+    words = [" ".join(by[x]).split()[:n] for x, n in zip(sorted(by), (220, 180, 170), strict=False)]
+    text = " ".join(sum(words, []))
+    lang, score, n = infer(text, learn(sample))
+    assert lang != "und" and score < 0.5 and n == 3
+    mixed = sample.limit(1).withColumn("text", F.lit(text)).withColumn("lang", F.lit(None).cast("string")).withColumn("doc_id", F.lit(-1).cast("long"))
+    assert -1 in {r.doc_id for r in keep_identified(sample.unionByName(mixed)).collect()}
