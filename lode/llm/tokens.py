@@ -35,7 +35,10 @@ def default_path() -> str:
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes. Special tokens' strings are ordinary text."""
+    """Ids of texts as little-endian unsigned 32-bit bytes, as the tokenizer gives them without adding special tokens.
+
+    Texts that hold an added token's string go through the tokenizer as a whole.
+    """
 
     _of: dict[str, Encoder] = {}
 
@@ -48,7 +51,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # a piece needs the model alone: neither patterns nor special tokens apply inside it
         self.model = self.tokenizer.model.tokenize
         self.split = regex.compile(public_tokenizers.PATTERN).findall
@@ -109,6 +112,10 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         found, holes = [], []  # ids of each text's cuts, and where they are not known yet
         for t in texts:
+            if any(a in t for a in self.added):
+                whole = t.encode("utf-8", "replace").decode()
+                found.append([array("I", self.tokenizer.encode(whole, add_special_tokens=False).ids).tobytes()])
+                continue
             cut = self.cuts(t)
             ids = list(map(self.cache.get, cut))
             at = -1

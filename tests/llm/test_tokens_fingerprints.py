@@ -89,3 +89,14 @@ def test_repeated_rows_and_empty(odd, empty):
     assert len(got) == odd.count()
     assert sum(g.near_next for g in got if g.doc_id == 8) >= 1
     assert fingerprint_edits(empty).collect() == []
+
+
+def test_special_tokens_in_texts():
+    """Against a tokenizer as loaded."""
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(default_path())
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "plain, text. here", "", "x<|endoftext|>\n\n y", "<|endof text|>"]
+    got = Encoder.at(default_path()).encode(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    assert np.frombuffer(got[0], "<u4").tolist() == [64, 220, 50256, 275]
