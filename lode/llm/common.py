@@ -40,5 +40,15 @@ def arrow_batches(spark: SparkSession, records: int = ARROW_RECORDS) -> None:
         spark.conf.set(key, records)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Each name with as many underscores before it as make it none of ``columns``, in any case of letters."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

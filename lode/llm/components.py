@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import BROADCAST_ROWS, Scratch
+
+#: Edges of a node from which on it is a hub; more where so many nodes could be hubs that they were no small table.
+HUB = 200
 
 
 def _linked(edges: DataFrame) -> DataFrame:
@@ -13,23 +16,35 @@ def _linked(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
+def _with_least(edges: DataFrame, least: DataFrame, hub: int) -> DataFrame:
+    """Edges (u, v) with the least m of u, from ``least`` (u, m, n: edges of u).
+
+    Edges of hubs get it by broadcast where they stand, so that no hub is dealt to one task. A hub has
+    ``hub`` edges at least, which bounds the number of hubs.
+    """
+    hubs = least.filter(F.col("n") >= hub)
+    of_hubs = edges.join(F.broadcast(hubs), "u").select("u", "v", "m")
+    others = edges.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(least.filter(F.col("n") < hub), "u").select("u", "v", "m")
+    return of_hubs.unionByName(others)
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(u, v) -> (u, root): the smallest node of each node's component; nodes without an edge are absent.
 
-    Minima are pre-aggregated before each shuffle and joined back, so a hub is never gathered in one
-    task: the join's long side may be split.
+    Minima are pre-aggregated before each shuffle; hubs get theirs by broadcast.
     """
     names = ["stars-a", "stars-b"]
     state, before = scratch.table(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars-0"), None
+    hub = max(HUB, 2 * state.count() // BROADCAST_ROWS + 1)
     for step in range(200):
+        name = names[step % 2]
         both = _linked(state)
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        mid = scratch.table(large.distinct(), f"{names[step % 2]}-large")
-        down = mid.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        lifted = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        state = scratch.table(lifted.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), f"{names[step % 2]}-small")
+        least = scratch.table(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n")), f"{name}-least")
+        large = _with_least(both.filter("v > u"), least, hub).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        down = scratch.table(large.distinct(), f"{name}-large").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        least = scratch.table(down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), f"{name}-down")
+        lifted = _with_least(down, least, hub).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        state = scratch.table(lifted.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), f"{name}-small")
         mark = tuple(state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == before:
             break

@@ -1,12 +1,14 @@
 """Exact deduplication by deterministic block naming.
 
-Texts are cut into fixed-size blocks of bytes. The distinct blocks are sorted and numbered, so that
-a block has one integer name. Then adjacent names are paired, the distinct pairs are sorted and
-numbered in turn, and so on until each text has a single name. Names come from sorting contents,
-never from hashes, so two texts get one identity only if they are identical.
+Texts are cut into fixed-size blocks of bytes. The distinct blocks are sorted and numbered 0, 1, 2, ...
+so that a block has one integer name, whatever the number of partitions. Then adjacent names are
+paired, the distinct pairs are sorted and numbered in turn, and so on until each text has a single
+name. Names come from sorting contents, never from hashes, so two texts get one identity only if they
+are identical.
 
 A text whose (byte length, 64-bit hash) no other row has is alone by itself: the hash only ever
-separates texts. Naming runs on the others, so that texts without a partner are not shuffled.
+separates texts. Naming runs on the others, so that texts without a partner are not shuffled. Rows
+are told apart by number, not by id or digest.
 """
 
 from __future__ import annotations
@@ -16,95 +18,106 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, lower_ascii, small
+from .common import Scratch, lower_ascii, small, unused
 
 BLOCK_BYTES = 4096
+ALONE = -1
 
 
-def _numbered(keys: DataFrame, *cols: str) -> DataFrame:
-    """Distinct keys, each with its own integer name: sorted and numbered in each partition of the keys.
+def _numbered(keys: DataFrame, scratch: Scratch, name: str, *cols: str) -> DataFrame:
+    """Distinct keys with their places in the sorted order of all, as ``name``.
 
-    distinct() has already dealt the keys by their hash, so equal keys are in one partition and the
-    sort needs no shuffle of its own, nor a sample of keys on the driver.
+    A range sort gives each partition a run of keys; a key's place is its place in the run and the
+    lengths of the runs before. The table of runs has a row per partition.
     """
-    return keys.select(*cols).distinct().sortWithinPartitions(*cols).withColumn("name", F.monotonically_increasing_id())
+    ranged = keys.select(*cols).distinct().repartitionByRange(*cols).sortWithinPartitions(*cols)
+    # the number has the partition in its upper bits and the place in the partition in its lower 33
+    runs = scratch.table(ranged.withColumn("at", F.monotonically_increasing_id()), f"{name}-runs")
+    part = F.shiftright("at", 33)
+    lengths = runs.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = lengths.select("part", F.expr("sum(n) over (order by part rows between unbounded preceding and current row) - n").alias("before"))
+    place = F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    out = scratch.table(runs.withColumn("part", part).join(F.broadcast(before), "part").select(*cols, place.alias("name")), name)
+    scratch.drop(f"{name}-runs")
+    return out
 
 
-def block_identities(cand: DataFrame, scratch: Scratch, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, sha, bytes) -> (doc_id, sha, level, name): equal (level, name), equal bytes.
+def block_identities(blocks: DataFrame, scratch: Scratch) -> DataFrame:
+    """(row, n, pos, block): the n blocks of each text -> (row, level, name): equal (level, name), equal texts.
 
-    Rows that repeat a (doc_id, sha) are one text. Each level halves the names of a text, so the
-    number of levels follows the logarithm of the longest text.
+    Each level halves the names of a text, so the number of levels follows the logarithm of the
+    longest text.
     """
-    n = F.greatest(F.lit(1), F.ceil(F.length("bytes") / F.lit(block_bytes))).cast("int")
-    blocks = scratch.table(
-        cand.withColumn("n", n).select(
-            "doc_id",
-            "sha",
-            "n",
-            F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring(F.col("bytes"), i * block_bytes + 1, F.lit(block_bytes)))).alias("pos", "block"),
-        ),
-        "blocks",
-    )
-    names = scratch.table(_numbered(blocks, "block"), "names-0")
+    names = _numbered(blocks, scratch, "names-0", "block")
     most = blocks.agg(F.max("n")).first()[0] or 1
-    current, done, level = blocks.join(names, "block").select("doc_id", "sha", "n", "pos", "name"), [], 0
+    current, done, level = scratch.table(blocks.join(names, "block").select("row", "n", "pos", "name"), "named-0"), [], 0
     for level in range(1, math.ceil(math.log2(most)) + 1 if most > 1 else 1):
-        pairs = scratch.table(
-            current.groupBy("doc_id", "sha", "n", F.expr("pos div 2").alias("pos")).agg(
-                F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("a"),
-                F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("b"),
-            ),
-            f"pairs-{level}",
-        )
         # a text that had one name before this level is named already
-        done.append(pairs.filter("n = 1").select("doc_id", "sha", F.lit(level).alias("level"), F.col("a").alias("name")))
-        rest = pairs.filter("n > 1")
-        names = scratch.table(_numbered(rest, "a", "b"), f"names-{level}")
-        current = rest.join(names, ["a", "b"]).select("doc_id", "sha", F.expr("(n + 1) div 2").cast("int").alias("n"), "pos", "name")
-    done.append(current.groupBy("doc_id", "sha").agg(F.max("name").alias("name")).select("doc_id", "sha", F.lit(level + 1).alias("level"), "name"))
+        done.append(current.filter("n = 1").select("row", F.lit(level).alias("level"), "name"))
+        pairs = current.filter("n > 1").groupBy("row", "n", F.expr("pos div 2").alias("pos")).agg(
+            F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("a"),
+            F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(ALONE)).alias("b"),
+        )
+        pairs = scratch.table(pairs, f"pairs-{level}")
+        names = _numbered(pairs, scratch, f"names-{level}", "a", "b")
+        current = scratch.table(pairs.join(names, ["a", "b"]).select("row", F.expr("(n + 1) div 2").cast("int").alias("n"), "pos", "name"), f"named-{level}")
+        scratch.drop(f"names-{level}", f"pairs-{level}")
+    done.append(current.filter("n = 1").select("row", F.lit(level + 1).alias("level"), "name"))
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
     return out
 
 
+def _grouped(rows: DataFrame, scratch: Scratch, block_bytes: int) -> DataFrame:
+    """(row, doc_id, text) -> row, doc_id, sha, keep_id, keep_row, group_size. Columns may come anew on each reading but row's order."""
+    keyed = rows.select("row", "doc_id", lower_ascii(F.col("text")).cast("binary").alias("bytes")).select("*", F.length("bytes").alias("len"), F.xxhash64("bytes").alias("h"))
+    every = scratch.table(keyed.select("row", "doc_id", "len", "h", F.sha2("bytes", 256).alias("sha")), "rows")
+    shared = scratch.table(every.groupBy("len", "h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("len", "h"), "shared")
+    n_shared = shared.count()
+    alone = every.join(small(shared, n_shared), ["len", "h"], "left_anti")
+    alone = alone.select("row", "doc_id", "sha", F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"), F.lit(1).cast("long").alias("group_size"))
+    n = F.greatest(F.lit(1), F.ceil(F.length("bytes") / F.lit(block_bytes))).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring(F.col("bytes"), i * block_bytes + 1, F.lit(block_bytes)))
+    partners = keyed.join(small(shared, n_shared), ["len", "h"], "left_semi").withColumn("n", n)
+    partners = partners.select("row", "doc_id", "n", F.sha2("bytes", 256).alias("sha"), F.posexplode(cut).alias("pos", "block"))
+    blocks = scratch.table(partners.select("row", "n", "pos", "block", F.when(F.col("pos") == 0, F.struct("doc_id", "sha")).alias("of")), "blocks")
+    named = scratch.table(block_identities(blocks.select("row", "n", "pos", "block"), scratch), "named")
+    members = blocks.filter("pos = 0").select("row", "of.doc_id", "of.sha")
+    members = scratch.table(members.join(named, "row"), "members")
+    scratch.drop("blocks", "named")
+    # of rows with the largest id, the first stays; maxima are formed before the shuffle
+    stays = F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", (-F.col("row")).alias("r")))
+    groups = scratch.table(members.groupBy("level", "name").agg(stays.alias("s"), F.count(F.lit(1)).alias("group_size")), "groups")
+    together = members.join(small(groups, groups.count()), ["level", "name"])
+    together = together.select("row", "doc_id", "sha", F.col("s.doc_id").alias("keep_id"), (-F.col("s.r")).alias("keep_row"), "group_size")
+    return together.unionByName(alone)
+
+
 def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, text, ...) -> doc_id, keep_id, group_size, kept, text_sha256, one row per input row.
 
     Texts are equal when identical after lower-casing A-Z; of equal texts the row with the largest
     doc_id stays. Null text counts as empty, and empty texts are equal. A null doc_id is smaller
     than any other. Rows that repeat both doc_id and text are counted in group_size, and exactly one
-    of them stays if theirs is the largest id. An empty table gives an empty result; columns other
-    than doc_id and text are not read.
+    of them stays if theirs is the largest id. Whole texts are compared, however long. An empty table
+    gives an empty result; columns other than doc_id and text are not read, whatever their names.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "exact-dedup")
-    norm = docs.select("doc_id", lower_ascii(F.col("text")).cast("binary").alias("bytes"))
-    keyed = norm.select("doc_id", "bytes", F.length("bytes").alias("len"), F.xxhash64("bytes").alias("h"))
-    rows = scratch.table(keyed.select("doc_id", "len", "h", F.sha2("bytes", 256).alias("sha")).groupBy("doc_id", "len", "h", "sha").agg(F.count(F.lit(1)).alias("copies")), "rows")
-    shared = scratch.table(rows.groupBy("len", "h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("len", "h"), "shared")
-    cand = keyed.join(small(shared, shared.count()), ["len", "h"], "left_semi").select("doc_id", F.sha2("bytes", 256).alias("sha"), "bytes")
-    named = scratch.table(block_identities(cand, scratch, block_bytes), "named")
-    scratch.drop("blocks")
-    members = scratch.table(rows.join(named, rows.doc_id.eqNullSafe(named.doc_id) & (rows.sha == named.sha), "left").select(rows.doc_id, rows.sha, "copies", "level", "name"), "members")
-    groups = members.filter("name is not null").groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
-    together = members.filter("name is not null").join(groups, ["level", "name"]).select("doc_id", "sha", "copies", "keep_id", "group_size")
-    alone = members.filter("name is null").select("doc_id", "sha", "copies", F.col("doc_id").alias("keep_id"), F.col("copies").alias("group_size"))
-    return (
-        together.unionByName(alone)
-        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-        .select("doc_id", "keep_id", F.col("group_size").cast("long"), (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), F.col("sha").alias("text_sha256"))
-    )
+    scratch = Scratch(docs.sparkSession, "exact-dedup")
+    found = _grouped(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), scratch, block_bytes)
+    return found.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns: of equal texts the one with the largest doc_id.
+
+    Rows are written with a number each and go by number, so that null and repeated ids do not matter.
+    Texts are equal as in ``exact_dedup``: null and empty texts are one group, of which a row stays; of
+    rows that repeat in full one stays. Columns may have any names; an empty table stays empty.
+    """
     scratch = Scratch(docs.sparkSession, "exact-copies")
-    found = scratch.table(exact_dedup(docs).select("doc_id", "text_sha256", "keep_id", "kept"), "found")
-    gone = found.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    twice = gone.filter("kept and n > 1").count()
-    gone = gone.filter("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha"))
-    keyed = docs.withColumn("_sha", F.sha2(lower_ascii(F.col("text")).cast("binary"), 256))
-    out = keyed.join(small(gone, gone.count()), F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col("_sha") == F.col("_gone_sha")), "left_anti")
-    return (out.dropDuplicates(["doc_id", "_sha"]) if twice else out).drop("_sha")
+    row_, gone_ = unused(docs.columns, "row", "gone")
+    rows = scratch.table(docs.withColumn(row_, F.monotonically_increasing_id()), "numbered")
+    found = _grouped(rows.select(F.col(row_).alias("row"), "doc_id", "text"), scratch, BLOCK_BYTES)
+    gone = scratch.table(found.filter("row <> keep_row").select(F.col("row").alias(gone_)), "gone")
+    return rows.join(small(gone, gone.count()), F.col(row_) == F.col(gone_), "left_anti").select(*docs.columns)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import LOWER, UPPER, Scratch, arrow_batches, small
+from .common import LOWER, UPPER, Scratch, arrow_batches, small, unused
 from .components import components
 
 BITS = 64
@@ -261,23 +261,27 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 
     A row goes for what its own text is like, whatever other rows have its id: rows are numbered and
     written with their fingerprints, and chosen by number. A null id is taken where there is no other.
+    Null, empty and blank texts have fingerprint zero, so one of them stays; of repeated rows one
+    stays. Whole texts are read, however long. Columns may have any names; an empty table stays empty.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
     scratch = Scratch(spark, "near-copies")
     at = docs.columns.index("text")
+    fp_, row_, gone_ = unused(docs.columns, "fp", "row", "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([simhash(t) for t in b.column(at).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64), pa.int64())], names=[*b.schema.names, "_fp"])
-
-    printed = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_fp", LongType())]))
-    rows = scratch.table(printed.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    doc_id = F.col("doc_id").cast("long")
-    first = F.min(F.struct(doc_id.isNull().alias("none"), doc_id.alias("id"), "_row"))
-    found = rooted(scratch.table(rows.groupBy(F.col("_fp").alias("fp")).agg(first.alias("least")), "points"), scratch)
-    stays = found.groupBy("root").agg(F.min("least")["_row"].alias("stays"))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64), pa.int64())], names=[*b.schema.names, fp_])
+
+    printed = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(fp_, LongType())]))
+    rows = scratch.table(printed.withColumn(row_, F.monotonically_increasing_id()), "rows")
+    light = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(fp_).alias("fp"), F.col(row_).alias("row"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "row"))
+    found = rooted(scratch.table(light.groupBy("fp").agg(first.alias("least")), "points"), scratch)
+    stays = found.groupBy("root").agg(F.min("least")["row"].alias("stays"))
     by_fp = scratch.table(found.join(stays, "root").select("fp", "stays"), "by-fp")
-    gone = scratch.table(rows.select("_fp", "_row").join(by_fp, F.col("_fp") == F.col("fp")).filter("_row <> stays").select(F.col("_row").alias("_gone")), "gone")
-    return rows.join(small(gone, gone.count()), F.col("_row") == F.col("_gone"), "left_anti").select(*docs.columns)
+    gone = scratch.table(light.join(by_fp, "fp").filter("row <> stays").select(F.col("row").alias(gone_)), "gone")
+    scratch.drop("points", "edges", "roots", "by-fp")
+    return rows.join(small(gone, gone.count()), F.col(row_) == F.col(gone_), "left_anti").select(*docs.columns)
