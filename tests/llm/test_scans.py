@@ -7,7 +7,7 @@ from lode.llm.boosting import fit
 from lode.llm.html_blocks import blocks
 from lode.llm.html_extract import extract, main_texts, trained
 from lode.llm.html_pages import Maker
-from lode.llm.licenses import BASE, license_scan
+from lode.llm.licenses import BASE, COMMON, DRIFT, LEAST_VOTES, LEAST_WORDS, NOTICES, license_scan
 from lode.llm.quality import NAMES, classify, statistics
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -49,6 +49,60 @@ def test_notices_with_edits(spark):
     assert got[4].n_base == 9 and got[4].first_word == 0 and got[4].last_word == 21
 
 
+def test_notices_behind_partial_matches(spark):
+    warranty = dict(NOTICES)["warranty"]
+    texts = [
+        "released under " * 30 + "released under the mit license",
+        "the software " * 40 + warranty,
+        "released under gpl, released under bsd, " * 6 + "then released under the mit license",
+        "released under " * 500 + "nothing",
+        "permission is hereby granted free of charge to " + "x y z " * 200 + "any person obtaining a copy of this software",
+        f"{warranty} {warranty} x {warranty}",
+    ]
+    got = {g.doc_id: g for g in license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].labels for i in range(6)] == ["mit", "warranty", "mit", "", "", "warranty"]
+    assert got[0].score == 1 and got[1].score == 1 and len(got[5].spans) == 3
+
+
+def brute_notices(text):
+    """Labels by trying every place of a text: bigrams on diagonals up to DRIFT apart, then the words they cover."""
+    words, labels = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(FOLD)), set()
+    for label, notice in NOTICES:
+        t = notice.split()
+        votes = {}
+        for i in range(len(t) - 1):
+            if not {t[i], t[i + 1]} <= COMMON:
+                for p in range(len(words) - 1):
+                    if words[p : p + 2] == t[i : i + 2]:
+                        votes.setdefault(p - i, []).append((i, p))
+        needed = sum(not {t[i], t[i + 1]} <= COMMON for i in range(len(t) - 1))
+        for d in votes:
+            near = [v for e, vs in votes.items() if d <= e <= d + DRIFT for v in vs]
+            if len({i for i, _ in near}) >= LEAST_VOTES * needed:
+                span = words[min(p for _, p in near) : min(max(p for _, p in near) + 2, d + len(t) + DRIFT)]
+                if len(set(span) & set(t)) >= LEAST_WORDS * len(set(t)):
+                    labels.add(label)
+    return labels
+
+
+def test_notices_against_brute_force(spark, odd):
+    rng = np.random.default_rng(8)
+    texts = []
+    for _ in range(150):
+        out = []
+        for _ in range(rng.integers(1, 5)):
+            words = NOTICES[rng.integers(len(NOTICES))][1].split()
+            words = [w for w in words if rng.random() > 0.2]
+            for _ in range(rng.integers(0, 6)):
+                words.insert(int(rng.integers(0, len(words) + 1)), str(rng.choice(["the", "software", "zzz", "license", "of"])))
+            out += words[int(rng.integers(0, 4)) :]
+        texts.append(" ".join(out))
+    got = {g.doc_id: g for g in license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = {i: brute_notices(t) | set(filter(None, brute_base(t)[4].split(","))) for i, t in enumerate(texts)}
+    assert {i: set(filter(None, g.labels.split(","))) for i, g in got.items()} == want
+    assert 0.3 * len(texts) < sum(bool(w) for w in want.values()) < len(texts)
+
+
 def test_quality(spark, odd, empty):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     mark = {r.doc_id: r.quality for r in labels.collect()}
