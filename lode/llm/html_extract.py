@@ -9,7 +9,6 @@ blocks that it classes as main text are joined by newlines.
 from __future__ import annotations
 
 import functools
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_batches
-from .html_blocks import Block, blocks
+from .html_blocks import PATH_BITS, Block, blocks, bucket
 from .html_pages import Maker
 
-PATH_BITS, WORD_BITS, MEASURES = 96, 48, 8
+WORD_BITS, MEASURES = 48, 8
 WIDTH = PATH_BITS + WORD_BITS + MEASURES
 HIDDEN = 20
 SEED = 7
@@ -31,23 +30,17 @@ BATCH = 24
 GROUP = 4_096
 
 
-@functools.lru_cache(maxsize=1 << 16)
-def _bucket(word: str, size: int) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % size
-
-
 def vectors(page: list[Block]) -> np.ndarray:
-    """One row per block: hashed tag path, hashed words, measures."""
+    """One row per block: hashed tag path, all its hashed words, measures."""
     x = np.zeros((len(page), WIDTH), np.float32)
+    raw = b"".join(b.path.to_bytes(PATH_BITS // 8, "little") for b in page)
+    x[:, :PATH_BITS] = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(page), -1), axis=1, bitorder="little")
     for i, b in enumerate(page):
-        for name in b.path:
-            x[i, _bucket(name, PATH_BITS)] = 1
         words = b.text.lower().split()
-        for w in words[:64]:
-            x[i, PATH_BITS + _bucket(w, WORD_BITS)] += 1 / min(len(words), 64)
-        x[i, PATH_BITS : PATH_BITS + WORD_BITS] = np.minimum(x[i, PATH_BITS : PATH_BITS + WORD_BITS], 0.25)  # a block may be one word over and over
         n = len(words)
-        x[i, PATH_BITS + WORD_BITS :] = (np.log1p(n) / 4, np.log1p(len(b.text)) / 6, b.linked, b.text[-1] in ".!?\"", len(b.path) / 8, i / len(page), min(i, 8) / 8, n < 4)
+        share = np.bincount([bucket(w, WORD_BITS) for w in words], minlength=WORD_BITS) / n
+        x[i, PATH_BITS : PATH_BITS + WORD_BITS] = np.minimum(share, 0.25)  # a block may be one word over and over
+        x[i, PATH_BITS + WORD_BITS :] = (np.log1p(n) / 4, np.log1p(len(b.text)) / 6, b.linked, b.text[-1] in ".!?\"", min(b.depth, 64) / 8, i / len(page), min(i, 8) / 8, n < 4)
     return x
 
 
@@ -185,7 +178,10 @@ def extract(pages: DataFrame, labeller: Labeller | None = None) -> DataFrame:
     """(page_id, url, html, ...) -> page_id, url, text, n_chars: one row per input row.
 
     Null or empty html, and pages without a block of main text, have the empty text. Repeated rows
-    get equal texts; an empty table gives an empty result. page_id and url are passed on as they are.
+    get equal texts; an empty table gives an empty result. page_id and url are passed on as they are,
+    null or not. Every block of a page and every word of a block is read, in time in proportion to the
+    page; a page of more than GROUP blocks is labelled by itself. Other columns are not read, whatever
+    their names.
     """
     arrow_batches(pages.sparkSession, 500)
     held = pages.sparkSession.sparkContext.broadcast(labeller or trained())  # some hundred kB

@@ -149,6 +149,54 @@ def test_blocks():
     assert len(blocks("<p>x</p>" * 20_000)) == 20_000
 
 
+def test_unclosed_and_inline_elements():
+    texts = lambda page: [b.text for b in blocks(page)]
+    assert texts("<p>one</p><svg><p>two</p>") == ["one", "two"] and texts("<p>one</p><svg>x</svg><p>two</p>") == ["one", "two"]
+    assert texts("<p>one</p><select><option>x</option><p>two</p>") == ["one", "x", "two"]
+    assert texts("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math> holds</p>") == ["so x=2 holds"]
+    assert texts("<p title='a>b'>x</p><p it's>y</p><p a=\"open>z</p>") == ["x", "y", "z"]
+    assert texts("<head><meta x><body><p>a</p>") == ["a"] and texts("<p>a</b></i></div>b") == ["a", "b"]
+    assert texts("<p>a <b>b <i>c</b> d</i> e</p>") == ["a b c d e"]
+
+
+def test_scanner_is_linear():
+    import time
+
+    for page in ("<div>x" * 150_000, "<p a=\"" * 150_000, "<svg>" * 200_000, "<b>" * 200_000 + "</i>" * 200_000, "</div>" * 170_000, "<a '" * 200_000, "<!-- " * 200_000, "<p class='a b'>x<i>" * 50_000, "<a" + " " * 1_000_000 + "'"):
+        t = time.process_time()
+        blocks(page)
+        assert time.process_time() - t < 4, page[:20]
+
+
+def test_words_after_the_64th_count():
+    from lode.llm.html_extract import vectors
+
+    a, b = (vectors(blocks(f"<p>{'cookie ' * 64}{tail * 36}</p>"))[0] for tail in ("cookie ", "menu "))
+    assert not np.array_equal(a, b)
+
+
+def test_lstm_gradients():
+    from lode.llm.html_extract import WIDTH, _lstm, _lstm_back
+
+    rng = np.random.default_rng(0)
+    x, live = rng.normal(size=(4, 3, WIDTH)), np.array([[1, 1, 1], [1, 1, 0], [1, 1, 0], [1, 0, 0]], float)
+    w, u, b = rng.normal(0, 0.1, (WIDTH, 8)), rng.normal(0, 0.5, (2, 8)), rng.normal(size=8)
+    weight = rng.normal(size=(4, 3, 2))
+    loss = lambda: float((_lstm(x, live, w, u, b) * weight).sum())
+    kept = []
+    _lstm(x, live, w, u, b, kept)
+    got = _lstm_back(weight, x, u, kept)
+    for p, g in zip((w, u, b), got, strict=True):
+        for at in [tuple(rng.integers(0, s) for s in p.shape) for _ in range(6)]:
+            keep, step = p[at], 1e-2
+            p[at] = keep + step
+            high = loss()
+            p[at] = keep - step
+            low = loss()
+            p[at] = keep
+            assert abs((high - low) / (2 * step) - g[at]) < 2e-3 + 1e-2 * abs(g[at])
+
+
 def test_extract_made_up_and_table_pages(spark):
     labeller = trained()
     maker = Maker(4242)
