@@ -21,6 +21,8 @@ SAMPLE_ROWS = 20_000
 HELD_OUT = 0
 FOLDS = 5
 THRESHOLD = 0.3
+#: Code points of a text that are counted together.
+SLICE = 1 << 20
 KINDS = ("lower", "upper", "letter", "digit", "blank", "newline", "ending", "joiner", "bracket", "symbol", "control")
 NAMES = [
     *KINDS, "log_chars", "log_words", "word_mean", "word_sd", "word_max", "unique", "top_word", "short_words", "upper_words", "mixed_words", "log_lines", "line_mean", "line_sd", "line_max",
@@ -53,12 +55,16 @@ def statistics(text: str | None) -> np.ndarray:
         c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         counts = np.zeros(len(KINDS))
         runs, chars = 0, Counter()
-        for at in range(0, len(c), 1 << 20):  # long texts in bounded memory
-            part = c[at : at + (1 << 20)]
+        for at in range(0, len(c), SLICE):  # long texts in bounded memory
+            part = c[at : at + SLICE]
             counts += np.bincount(_kind_table()[part], minlength=len(KINDS))
-            runs += int((part[1:] == part[:-1]).sum())
-            small = np.bincount(np.minimum(part, 1023), minlength=1024)
-            chars.update({i: int(small[i]) for i in np.flatnonzero(small)})
+            runs += int((part[1:] == part[:-1]).sum()) + (at > 0 and part[0] == c[at - 1])
+            if part.max() < 8192:  # a table of counts, else a sort: a single high code point would make the table large
+                seen = np.bincount(part)
+                points = np.flatnonzero(seen)
+                chars.update(dict(zip(points.tolist(), seen[points].tolist(), strict=True)))
+            else:
+                chars.update(dict(zip(*(x.tolist() for x in np.unique(part, return_counts=True)), strict=True)))
         out |= dict(zip(KINDS, counts / len(c), strict=True))
         n = np.array(list(chars.values()), float)
         out |= {"log_chars": math.log1p(len(c)), "runs": runs / len(c), "entropy": float(-(n / n.sum() * np.log(n / n.sum())).sum())}
@@ -84,8 +90,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     """Trees from labelled documents that are not held out.
 
     About ``sample_rows`` labels are used, chosen by a hash of doc_id; a doc_id with several labels has
-    their mean, rounded. The chosen ids and their statistics are what the driver gets: they are
-    bounded by ``sample_rows``, not by the table.
+    their mean, rounded, and one with several texts is learned from one of them, the one of the least
+    hash. The chosen ids and their statistics are what the driver gets: they are bounded by
+    ``sample_rows``, not by the table, however often an id is repeated.
     """
     arrow_batches(docs.sparkSession)
     marked = labels.filter("doc_id is not null and quality is not null").filter(id_crc(F.col("doc_id")) % FOLDS != HELD_OUT).groupBy("doc_id").agg(F.avg("quality").alias("q"))
@@ -97,8 +104,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             x = [statistics(t.as_py()).tolist() for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long"), "y", "text").mapInArrow(measure, "doc_id long, y int, x array<double>").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["x"]))
+    # about sample_rows rows of two numbers
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    one = found.groupBy("doc_id").agg(F.first("y").alias("y"), F.min_by(F.coalesce("text", F.lit("")), F.xxhash64("text")).alias("text"))
+    rows = one.select(F.col("doc_id").cast("long"), "y", "text").mapInArrow(measure, "doc_id long, y int, x array<double>").collect()
+    rows.sort(key=lambda r: r["doc_id"])
     return fit(np.array([r["x"] for r in rows]).reshape(-1, len(NAMES)), np.array([r["y"] for r in rows], float))
 
 
@@ -120,7 +130,8 @@ def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
 
     held_out rows (crc32 of doc_id as text, mod 5, is 0) are never learned from; a null id counts as
     empty text there. Null text counts as empty and is scored like any other. Without labels every
-    score is one half. Repeated rows get equal scores; an empty table gives an empty result.
+    score is one half. Repeated rows get equal scores; an empty table gives an empty result. Whole texts
+    are measured, however long; columns other than doc_id and text are not read, whatever their names.
     """
     out = score(docs, learn(docs, labels, sample_rows))
     return out.select("doc_id", (id_crc(F.col("doc_id")) % FOLDS == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -1,5 +1,6 @@
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -121,6 +122,40 @@ def test_statistics():
         assert v.shape == (len(NAMES),) and np.isfinite(v).all()
 
 
+def brute_statistics(text):
+    """The main measures, by plain loops over characters, words and lines."""
+    import math
+    from itertools import pairwise
+
+    n, words, lines = len(text), text.split(), [x for x in text.splitlines() if x.strip()]
+    share = lambda xs, f: sum(map(f, xs)) / len(xs)
+    counts = Counter(text)
+    return {
+        "lower": share(text, str.islower), "digit": share(text, str.isnumeric), "runs": sum(a == b for a, b in pairwise(text)) / n,
+        "entropy": -sum(k / n * math.log(k / n) for k in counts.values()), "word_mean": share(words, len), "unique": len(set(words)) / len(words),
+        "top_word": max(Counter(words).values()) / len(words), "line_copies": 1 - len(set(lines)) / len(lines), "line_mean": share(lines, len), "short_lines": share(lines, lambda x: len(x) < 30),
+    }
+
+
+def test_statistics_against_loops(monkeypatch, sample):
+    from lode.llm import quality
+
+    monkeypatch.setattr(quality, "SLICE", 64)
+    texts = [r.text for r in sample.limit(40).collect()] + ["абвгдежзийклмноп", "abcdefghijklmnop", "aa bb\n\naa bb\n中文中文字", "x" * 1000]
+    for text in texts:
+        got = dict(zip(NAMES, statistics(text), strict=True))
+        for k, v in brute_statistics(text).items():
+            assert abs(got[k] - v) < 1e-9, (k, text[:40])
+
+
+def test_quality_with_repeated_ids(spark):
+    """An id that many rows have is learned from once."""
+    docs = spark.createDataFrame([(1, f"some words number {i}") for i in range(500)] + [(2, "other words."), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
+    got = classify(docs, labels).collect()
+    assert len(got) == 502 and all(0 <= g.score <= 1 for g in got)
+
+
 def test_forest_learns_and_flattens():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 5))
