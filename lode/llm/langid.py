@@ -32,6 +32,8 @@ PENALTY = 2.0
 HELD_OUT = 2
 FOLDS = 4
 _SLICE = 1_000_000
+#: Cells of the model (trigrams times languages) that are looked up together.
+CELLS = 4_000_000
 _letters: np.ndarray | None = None
 
 
@@ -55,11 +57,14 @@ def _grams(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _slices(text: str) -> Iterator[str]:
-    """The whole text in slices that end between words, so that long texts take bounded memory."""
+    """The whole text in slices that end between words, so that long texts take bounded memory.
+
+    A word is what the letter table holds for one, combining marks included.
+    """
     at = 0
     while len(text) - at > _SLICE:
         till = at + _SLICE
-        while till < len(text) and text[till].isalpha():
+        while till < len(text) and _letter_table()[ord(text[till])]:
             till += 1
         yield text[at:till]
         at = till
@@ -153,11 +158,17 @@ def infer(text: str | None, model: dict) -> tuple[str, float, int]:
     rows = []
     for part in _slices(text):
         gram, begins = _grams(part)
-        # so many words at a time that the rows of their trigrams take bounded memory
-        step = len(begins) if len(langs) <= DENSE_LANGS else 256
-        for at in range(0, len(begins), step or 1):
-            own = slice(begins[at], begins[at + step] if at + step < len(begins) else len(gram))
-            rows.append(np.add.reduceat(logp[gram[own]], begins[at : at + step] - begins[at], axis=0, dtype=np.float32))
+        # so many words at a time that the rows of their trigrams take bounded memory; a word may be long
+        most = max(1, CELLS // len(langs))
+        ends, at = np.append(begins[1:], len(gram)), 0
+        while at < len(begins):
+            till = max(at + 1, int(np.searchsorted(ends, begins[at] + most, side="right")))
+            own = gram[begins[at] : ends[till - 1]]
+            if till == at + 1:
+                rows.append(sum(logp[own[k : k + most]].sum(0, keepdims=True, dtype=np.float32) for k in range(0, len(own), most)))
+            else:
+                rows.append(np.add.reduceat(logp[own], begins[at:till] - begins[at], axis=0, dtype=np.float32))
+            at = till
     if not rows:
         return "und", 0.0, 0
     ll = np.concatenate(rows)
@@ -197,7 +208,8 @@ def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
 
     held_out rows (crc32 of doc_id as text, mod 4, is 2) are never learned from; a null id counts as
     empty text there. Null text or text without a letter is ``und`` with score 0. Repeated rows get
-    equal predictions; an empty table gives an empty result.
+    equal predictions; an empty table gives an empty result. Whole texts are read, however long;
+    columns other than doc_id, text and lang are not read, whatever their names.
     """
     out = predict(docs, learn(docs, sample_docs))
     return out.select("doc_id", (id_crc(F.col("doc_id")) % FOLDS == HELD_OUT).alias("held_out"), "lang_pred", "score", "n_langs")
@@ -206,7 +218,9 @@ def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language is known: not ``und``, in however many languages.
 
-    The text is scored in place, so that rows need not be joined back by id.
+    The text is scored in place, so that rows need not be joined back by id: null and repeated ids do
+    not matter, repeated rows stay or go together, and columns may have any names. Rows with null text
+    or without a letter go. An empty table stays empty.
     """
     model = learn(docs)
     arrow_batches(docs.sparkSession)

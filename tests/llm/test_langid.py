@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
+from lode.llm import langid
 from lode.llm.langid import SparseTable, identify, infer, keep_identified, learn
 
 
@@ -74,3 +75,56 @@ def test_document_in_three_languages_is_kept(sample):
     assert lang != "und" and score < 0.5 and n == 3
     mixed = sample.limit(1).withColumn("text", F.lit(text)).withColumn("lang", F.lit(None).cast("string")).withColumn("doc_id", F.lit(-1).cast("long"))
     assert -1 in {r.doc_id for r in keep_identified(sample.unionByName(mixed)).collect()}
+
+
+def brute_infer(text, model, rounds=12, price=2.0):
+    """The mixture by plain loops: likelihoods of words, EM, backward elimination."""
+    import math
+    import unicodedata
+
+    letter = lambda c: c.isalpha() or unicodedata.category(c)[0] == "M"
+    words = "".join(c if letter(c) else " " for c in text.lower()).split(" ")
+    words = [w for w in words if w]
+    ll = []
+    for w in words:
+        grams, _ = langid._grams(w)
+        assert len(grams) == len(w)
+        ll.append([sum(float(model["logp"][g][k]) for g in grams) for k in range(len(model["langs"]))])
+    like = [[max(math.exp(x - max(row)), 1e-6) for x in row] for row in ll]
+
+    def em(keep):
+        pi = {k: 1 / len(keep) for k in keep}
+        for _ in range(rounds):
+            new = dict.fromkeys(keep, 0.0)
+            for row in like:
+                total = sum(row[k] * pi[k] for k in keep)
+                for k in keep:
+                    new[k] += row[k] * pi[k] / total / len(like)
+            done = max(abs(new[k] - pi[k]) for k in keep) < 1e-4
+            pi = new
+            if done:
+                break
+        return pi, sum(math.log(sum(row[k] * pi[k] for k in keep)) for row in like) - price * math.log(len(like) + 1) * len(keep)
+
+    keep = list(range(len(model["langs"])))
+    pi, best = em(keep)
+    while len(keep) > 1:
+        less = [k for k in keep if k != min(keep, key=pi.get)]
+        new_pi, new = em(less)
+        if new < best:
+            break
+        keep, pi, best = less, new_pi, new
+    top = max(keep, key=pi.get)
+    return model["langs"][top], pi[top], len(keep)
+
+
+def test_inference_against_brute_force(sample, monkeypatch):
+    model = learn(sample)
+    texts = [r.text[:1500] for r in sample.limit(25).collect()]
+    texts += [texts[0][:300] + " " + texts[3][:300] + " " + texts[7][:200], "e\u0301le\u0300ve noe\u0308l " * 30]
+    for slice_, cells in ((1_000_000, 4_000_000), (7, 40)):
+        monkeypatch.setattr(langid, "_SLICE", slice_)
+        monkeypatch.setattr(langid, "CELLS", cells)
+        for t in texts:
+            got, want = infer(t, model), brute_infer(t, model)
+            assert got[0] == want[0] and abs(got[1] - want[1]) < 1e-3 and got[2] == want[2]
