@@ -34,3 +34,12 @@ def empty(odd):
 @pytest.fixture(scope="session")
 def sample(spark):
     return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+
+
+@pytest.fixture(scope="session")
+def named(odd):
+    """The odd documents with columns named as the stages name their own."""
+    from pyspark.sql import functions as F
+
+    names = ["row", "_row", "ROW_", "gone", "_gone", "_gone_id", "_gone_sha", "_sha", "fp", "_fp", "piece", "at", "_h", "_p", "_id", "_size", "size", "place", "taken", "bytes", "len", "keep_id", "shard", "root", "block"]
+    return odd.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])

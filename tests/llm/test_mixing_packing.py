@@ -67,25 +67,66 @@ def test_mix(request, table, shard_docs):
     assert sorted(map(key, got)) == sorted(map(key, again))
 
 
-def test_mixed_documents(sample, empty):
-    taken = {g.doc_id: g.taken for g in mix(sample.withColumn("doc_id", sample.doc_id)).collect()}
-    out = mixed_documents(sample)
-    assert out.columns == sample.columns
-    rows = out.collect()
-    got, text = Counter(), {r.doc_id: r.text for r in sample.collect()}
-    for r in rows:
-        got[r.doc_id] += len(words(r.text))
-        assert r.n_chars == len(r.text)
-        assert " ".join(words(r.text)) in " ".join(words(text[r.doc_id]))
-    assert abs(sum(got.values()) - sum(taken.values())) <= 0.01 * sum(taken.values()) + 200
-    assert max(got[i] / len(words(text[i])) for i in got) <= 3
+def test_taken_against_words_laid_out(sample):
+    """Every word of a shard has a place; the quota walks over the places one by one."""
+    got = mix(sample, shard_docs=40).collect()
+    by = {}
+    for g in got:
+        by.setdefault((g.source, g.shard), []).append(g)
+    for rows in by.values():
+        rows.sort(key=lambda g: (g.place, g.size))
+        owners = [i for i, g in enumerate(rows) for _ in range(g.size)]
+        assert all(g.place == sum(x.size for x in rows[:i]) for i, g in enumerate(rows) if g.size)
+        first = rows[0]
+        assert first.shard_words == max(1, len(owners)) and 0 <= first.run_from < max(1, len(owners)) and first.run_from % 4 == 0
+        passes = (sum(g.taken for g in rows) - first.run_words) // max(1, len(owners))
+        want = Counter(owners[(first.run_from + k) % len(owners)] for k in range(first.run_words))
+        assert [g.taken for g in rows] == [g.size * passes + want[i] for i, g in enumerate(rows)]
+
+
+def test_many_equal_shards():
+    import time
+
+    t = time.process_time()
+    got = sainte_lague(np.full(200_000, 7.0), 333_333)
+    assert got.sum() == 333_333 and got.max() - got.min() <= 1 and time.process_time() - t < 10
+
+
+@pytest.mark.parametrize("table", ["odd", "sample", "named"])
+def test_mixed_documents(request, table):
+    """What comes out is what mix takes of each row, whatever ids, sources and column names there are."""
+    docs = request.getfixturevalue(table)
+    taken = Counter()
+    for g in mix(docs).collect():
+        taken[g.doc_id, g.source, g.size] += g.taken
+    text = {}
+    for r in docs.collect():
+        text.setdefault((r.doc_id, r.source), []).append(" ".join(words(r.text)))
+    out = mixed_documents(docs)
+    assert out.columns == docs.columns
+    got = Counter()
+    for r in out.collect():
+        assert r.n_chars == len(r.text) and any(" ".join(words(r.text)) in t for t in text[r.doc_id, r.source])
+        got[r.doc_id, r.source] += len(words(r.text))
+    want = Counter()
+    for (i, s, _), n in taken.items():
+        want[i, s] += n
+    assert +got == +want
+
+
+def test_mixed_empty(empty):
     assert mix(empty).collect() == [] and mixed_documents(empty).collect() == []
 
 
 def test_mixed_repeated_rows(spark):
-    docs = spark.createDataFrame([(1, "a b c d", "s"), (1, "a b c d", "s"), (2, "e f", "t"), (None, "g h", None)], "doc_id long, text string, source string")
-    taken = sum(g.taken for g in mix(docs).collect())
-    assert taken and sum(len(words(r.text)) for r in mixed_documents(docs).collect()) == taken
+    docs = spark.createDataFrame([(1, "a b c d", "s"), (1, "a b c d", "s"), (1, "a b c d", "t"), (2, "e f g h", "u"), (None, "g h", None), (None, "i j k", None)], "doc_id long, text string, source string")
+    for seed in range(3):
+        taken, got = Counter(), Counter()
+        for g in mix(docs, seed).collect():
+            taken[g.doc_id, g.source] += g.taken
+        for r in mixed_documents(docs, seed).collect():
+            got[r.doc_id, r.source] += len(words(r.text))
+        assert +got == +taken
 
 
 @settings(max_examples=60, deadline=None)
