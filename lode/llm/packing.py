@@ -2,13 +2,14 @@
 
 Lengths of pieces are at most the sequence size, so the whole packing problem is a histogram. For
 each length, longest first, sums of one, two and three lengths that fill its gap exactly are looked
-up and consumed as often as counts allow. What is left is packed by best fit. The driver works on the
-histogram only; pieces get their places by their rank among pieces of their length.
+up and consumed as often as counts allow. What is left is packed by best fit, longest first. The driver
+works on the histogram only; pieces get their places by their rank among pieces of their length.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,8 @@ from .tokens import Encoder, default_path, text_groups
 
 SIZE = 2048
 END_ID = 0
+#: Plans leave pieces shorter than these shares of a sequence to best fit. From a third on no pair or triple is left, and best fit decides.
+RESERVED = (0, 1 / 64, 1 / 32, 1 / 16, 1 / 8, 1 / 6, 0.2, 0.25, 0.28, 0.3, 0.32, 0.33, 1 / 3)
 #: Pieces of one length that are ranked in one task, about.
 RANKED = 50_000
 
@@ -37,63 +40,100 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...]
     """Length counts -> (lengths of a sequence, number of such sequences), every piece used once.
 
     Pairs and triples fill gaps that singles cannot, but use up short pieces that best fit could put
-    to better use where pieces over half a sequence abound. So they are also tried from half a
-    sequence on only, and left out; the plan with the fewest sequences is returned.
+    to better use. So plans are made that leave ever more of the shortest pieces to best fit; the first
+    of those with the fewest sequences is taken, which is the one with the most lengths to combine. A
+    plan at the lower bound, all tokens over the size, ends the search.
+    """
+    bound, best = -(-sum(length * n for length, n in counts.items()) // size), None
+    for share in RESERVED:
+        full, rest = complements(counts, size, max(1, round(size * share))), dict(counts)
+        for lengths, n in full:
+            for x in lengths:
+                rest[x] -= n
+        made = full + best_fit(rest, size)
+        sequences = sum(n for _, n in made)
+        if best is None or sequences < best[0]:
+            best = sequences, made
+        if sequences == bound:
+            break
+    return best[1]
+
+
+def complements(counts: dict[int, int], size: int, least: int = 1) -> list[tuple[tuple[int, ...], int]]:
+    """Full sequences: for each length, longest first, sums of one, two and three lengths that fill its gap
+    exactly, as often as counts allow. Pairs and triples take lengths of at least ``least`` only.
     """
-    plans = [_plan(counts, size, least, most) for least, most in ((1, 3), (size // 2, 3), (1, 2), (size // 2, 2), (1, 1))]
-    return min(plans, key=lambda p: sum(n for _, n in p))
-
-
-def _plan(counts: dict[int, int], size: int, least: int, most: int) -> list[tuple[tuple[int, ...], int]]:
-    """One plan: combinations of up to ``most`` pieces fill the gaps of lengths of at least ``least``."""
     have = np.zeros(size + 1, np.int64)
     for length, n in counts.items():
         have[length] += n
     out: list[tuple[tuple[int, ...], int]] = []
 
-    def take(*lengths: int) -> int:
+    def take(*lengths: int) -> None:
         """Consumes the combination as often as counts allow."""
-        need = np.bincount(lengths, minlength=size + 1)
-        at = np.flatnonzero(need)
-        n = int((have[at] // need[at]).min())
+        need = Counter(lengths)
+        n = min(int(have[x]) // k for x, k in need.items())
         if n:
-            have[at] -= n * need[at]
+            for x, k in need.items():
+                have[x] -= n * k
             out.append((lengths, n))
-        return n
 
-    def pairs(total: int, most: int) -> list[tuple[int, int]]:
-        """Available (a, b) with a >= b and a + b = total, largest a first."""
-        a = np.arange(min(most, total - 1), (total - 1) // 2, -1)
-        return [(int(x), total - int(x)) for x in a[(have[a] > 0) & (have[total - a] > 0)]]
+    def pairs(total: int, most: int) -> Iterator[tuple[int, int]]:
+        """Available (a, b) with a >= b >= least and a + b = total, largest a first."""
+        a = np.arange(min(most, total - least), (total - 1) // 2, -1)
+        for x in a[(have[a] > 0) & (have[total - a] > 0)].tolist():
+            yield x, total - x
 
     take(size)
     for length in range(size - 1, 0, -1):
         gap = size - length
-        take(length, gap)
-        if length < least or not have[length]:
-            continue
-        for a, b in pairs(gap, length) if most > 1 else ():
-            take(length, a, b)
-            if not have[length]:
-                break
-        for a in (int(x) for x in np.flatnonzero(have[: min(length, gap - 2) + 1])[::-1] if x) if most > 2 and have[length] and gap > 2 else ():
-            for b, c in pairs(gap - a, a):
-                take(length, a, b, c)
-                if not have[length] or not have[a]:
+        if have[length]:
+            take(length, gap)
+        if have[length]:
+            for a, b in pairs(gap, length):
+                take(length, a, b)
+                if not have[length]:
+                    break
+        if have[length] and gap > 2:
+            for a in [x for x in np.flatnonzero(have[: min(length, gap - 2) + 1])[::-1].tolist() if x >= least]:
+                for b, c in pairs(gap - a, a):
+                    take(length, a, b, c)
+                    if not have[length] or not have[a]:
+                        break
+                if not have[length]:
                     break
-            if not have[length]:
-                break
-    while have.any():  # best fit for the rest: the longest piece, then the longest that still fits
-        used = np.zeros(size + 1, np.int64)
-        lengths, gap = [], size
-        while len(fits := np.flatnonzero((have - used)[: gap + 1] > 0)):
-            lengths.append(int(fits[-1]))
-            used[fits[-1]] += 1
-            gap -= int(fits[-1])
-        take(*lengths)
     return out
 
 
+def best_fit(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
+    """Best fit, longest piece first: each piece goes to the open sequence with the least gap that holds it.
+
+    Sequences of equal contents are one entry with a number, so the time follows the distinct lengths
+    and contents, not the pieces.
+    """
+    open_: dict[int, Counter] = {}  # gap -> contents -> number of sequences
+    gaps = np.zeros(size + 1, bool)
+    for length in sorted((x for x, n in counts.items() if n), reverse=True):
+        left = counts[length]
+        while left:
+            fits = np.flatnonzero(gaps[length:])
+            if len(fits):
+                gap = length + int(fits[0])
+                contents, there = open_[gap].popitem()
+                n, times = min(there, left), 1
+                if n < there:
+                    open_[gap][contents] = there - n
+                elif not open_[gap]:
+                    gaps[gap] = False
+            else:  # new sequences, each filled with as many of the pieces as fit: what best fit does one by one
+                gap, contents, times = size, (), min(left, size // length)
+                n = left // times
+            left -= n * times
+            gap -= times * length
+            open_.setdefault(gap, Counter())[contents + (length,) * times] += n
+            gaps[gap] = True
+    return [(contents, n) for by in open_.values() for contents, n in by.items()]
+
+
 def _slots(patterns: list[tuple[tuple[int, ...], int]], size: int) -> dict[str, np.ndarray]:
     """For each length, runs of ranks: (first rank, number per sequence, first sequence, first offset)."""
     rows, ranks, sequence = [], np.zeros(size + 1, np.int64), 0
@@ -131,8 +171,10 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID) -
 def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
     """(doc_id, text, ...) -> doc_id, piece, start, length, ids_crc32, sequence_id, offset; a row per piece.
 
-    Null text counts as empty and is a piece of the end id alone. Repeated rows are packed each.
-    An empty table gives an empty result. ``path`` is a tokenizers file that every executor can read.
+    Null text counts as empty and is a piece of the end id alone. Repeated rows are packed each, and
+    null ids are ids like any other. Whole texts are packed, however long; columns other than doc_id
+    and text are not read, whatever their names. An empty table gives an empty result. ``path`` is a
+    tokenizers file that every executor can read.
     """
     spark = docs.sparkSession
     arrow_batches(spark)

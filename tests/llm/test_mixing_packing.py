@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lode.llm.mixing import capped_targets, mix, mixed_documents, sainte_lague
-from lode.llm.packing import cut, pack, plan
+from lode.llm.packing import best_fit, complements, cut, pack, plan
 from lode.llm.tokens import Encoder, default_path
 
 
@@ -154,11 +154,60 @@ def best_fit_decreasing(counts, size=2048):
     return n
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=30))
+def test_best_fit_is_best_fit(counts):
+    assert sum(n for _, n in best_fit(counts, 64)) == best_fit_decreasing(counts, 64)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 6), max_size=20), st.sampled_from([1, 5]))
+def test_complements_are_full_and_leave_none(counts, least):
+    """All sequences are full, and what is left holds no full one of up to four lengths."""
+    from itertools import combinations_with_replacement
+
+    left = Counter(counts)
+    for lengths, n in complements(counts, 40, least):
+        assert sum(lengths) == 40 and len(lengths) <= 4
+        left.subtract({x: n * lengths.count(x) for x in set(lengths)})
+    assert min(left.values(), default=0) >= 0
+    left = +left
+    for k in range(1, 5):
+        for c in combinations_with_replacement(sorted(left), k):
+            if sum(c) == 40 and (k < 3 or min(c) >= least):
+                assert Counter(c) - left, c
+
+
 def test_plan_is_no_worse_than_best_fit():
+    """The plan that is shipped: complements of one, two and three, and no more sequences than best fit needs."""
     rng = np.random.default_rng(3)
-    for lengths in (rng.integers(1, 2049, 4000), np.minimum(2048, rng.exponential(700, 6000).astype(int) + 1), rng.integers(300, 1500, 3000)):
+    shapes = {
+        "uniform": rng.integers(1, 2049, 4000), "short": np.minimum(2048, rng.exponential(700, 6000).astype(int) + 1), "middle": rng.integers(300, 1500, 3000), "400 to 1100": rng.integers(400, 1101, 5000),
+    }
+    for name, lengths in shapes.items():
         counts = Counter(lengths.tolist())
-        assert sum(n for _, n in plan(counts)) <= best_fit_decreasing(counts)
+        got = plan(counts)
+        assert sum(n for _, n in got) <= best_fit_decreasing(counts), name
+        assert any(sum(x) == 2048 and len(x) == 2 for x, _ in got)
+        combined = {len(x) for x, _ in got if sum(x) == 2048}
+        assert {"short": {3, 4}, "400 to 1100": {3}}.get(name, set()) <= combined
+
+
+def test_table_is_packed_by_complements(spark):
+    """On the documents' own lengths the plan of least sequences is one of complements."""
+    got = pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).select("sequence_id", "length").collect()
+    by = {}
+    for g in got:
+        by.setdefault(g.sequence_id, []).append(g.length)
+    counts = Counter(g.length for g in got)
+    assert len(by) <= best_fit_decreasing(counts) and len(by) == -(-sum(g.length for g in got) // 2048)
+    made = Counter(map(lambda x: tuple(sorted(x)), by.values()))
+    want = Counter({tuple(sorted(x)): 0 for x, _ in plan(counts)})
+    for x, n in plan(counts):
+        want[tuple(sorted(x))] += n
+    assert made == want
+    full = {tuple(sorted(x)) for x, _ in complements(dict(counts), 2048, 256)}
+    assert {2, 3, 4} <= {len(x) for x in full & set(made)}
 
 
 def test_cut():
