@@ -34,6 +34,8 @@ END_ID = 2
 BLOCK_IDS = 1 << 18
 #: Blocks of a file. A file stays far below the 2 GB that one row may have, unless single texts are huge.
 FILE_BLOCKS = 24
+#: Parts (tasks of the writer) whose files are summed together.
+SUMMED_PARTS = 1_024
 ENDED = b"\0"
 #: Lengths of the four values that a control byte stands for, first value in the lowest bits.
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
@@ -165,13 +167,25 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = False) -> Dat
 def token_index(docs: DataFrame, path: str | None = None, end_id: int = END_ID, block_ids: int = BLOCK_IDS, file_blocks: int = FILE_BLOCKS) -> DataFrame:
     """(doc_id, text, ...) -> doc_id, start, n_tokens, ids_crc32: written to token files and read back from them.
 
-    start counts the ids of all documents before. Repeated rows are written each. An empty table gives
-    an empty result.
+    start counts the ids of all documents before; null ids come first. Null text counts as empty.
+    Repeated rows are written each. Whole texts are written, however long; columns other than doc_id and
+    text are not read, whatever their names. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "tokens")
     write_tokens(docs, scratch.path("files"), path, end_id, block_ids, file_blocks)
     index = scratch.table(read_tokens(docs.sparkSession, scratch.path("files")), "index")
     scratch.drop("files")
-    totals = index.groupBy("part", "chunk").agg(F.sum("n_tokens").alias("n"))  # a row per file
-    before = scratch.table(totals.select("part", "chunk", F.expr("sum(n) over (order by part, chunk rows between unbounded preceding and current row) - n").alias("before")), "before")
+    before = scratch.table(_before(index.groupBy("part", "chunk").agg(F.sum("n_tokens").alias("n"))), "before")
     return index.join(small(before, before.count()), ["part", "chunk"]).select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def _before(files: DataFrame, parts: int = SUMMED_PARTS) -> DataFrame:
+    """(part, chunk, n) -> part, chunk, before: the sum of n over all files that sort before, in two levels.
+
+    Files are summed in groups of so many parts, the groups' totals in one task.
+    """
+    grouped = files.withColumn("g", F.expr(f"part div {parts}"))
+    running = "rows between unbounded preceding and current row"
+    totals = grouped.groupBy("g").agg(F.sum("n").alias("t")).select("g", F.expr(f"sum(t) over (order by g {running}) - t").alias("base"))
+    within = grouped.withColumn("own", F.expr(f"sum(n) over (partition by g order by part, chunk {running}) - n"))
+    return within.join(F.broadcast(totals), "g").select("part", "chunk", (F.col("base") + F.col("own")).alias("before"))

@@ -91,6 +91,49 @@ def test_repeated_rows_and_empty(odd, empty):
     assert fingerprint_edits(empty).collect() == []
 
 
+def test_before_in_two_levels(spark):
+    from lode.llm.token_files import _before
+
+    rows = [(p, c, 1 + (7 * p + c) % 5) for p in range(23) for c in range(p % 3 + 1)]
+    files = spark.createDataFrame(rows, "part int, chunk int, n long")
+    want, at = {}, 0
+    for p, c, n in sorted(rows):
+        want[p, c] = at
+        at += n
+    for parts in (1, 4, 1024):
+        assert {(r.part, r.chunk): r.before for r in _before(files, parts).collect()} == want
+
+
+@pytest.fixture(scope="module")
+def fresh():
+    """The tokenizer as its file says, without a setting changed."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(default_path())
+
+
+def test_ids_of_a_whole_table(spark, fresh):
+    """Every text of a table, and each again with odd white space, marks and special tokens put in."""
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    rng = np.random.default_rng(9)
+    odd = ["  ", "\n\n", " \n", "\t", "\u00a0", "\u2003", "\u3000", "\r\n", "\0", "<|endoftext|>", " 's", "'ll", "...", "é", "中", "\U0001f600", "\u0301", "1234567", "_", "\x1c", "\x85", "\u200b"]
+    changed = []
+    for t in texts:
+        cut = sorted(rng.integers(0, len(t) + 1, 6).tolist())
+        parts = [t[a:b] for a, b in zip([0, *cut], [*cut, len(t)], strict=True)]
+        changed.append("".join(p + (odd[rng.integers(len(odd))] if i < 6 else "") for i, p in enumerate(parts)))
+    for group in (texts, changed):
+        want = [e.ids for e in fresh.encode_batch(group, add_special_tokens=False)]
+        got = Encoder.at(default_path()).encode(group)
+        assert [i for i, (g, w) in enumerate(zip(got, want, strict=True)) if np.frombuffer(g, "<u4").tolist() != w] == []
+
+
+@settings(max_examples=1000, deadline=None)
+@given(st.text(max_size=40))
+def test_ids_of_any_text(fresh, text):
+    assert np.frombuffer(Encoder.at(default_path()).encode([text])[0], "<u4").tolist() == fresh.encode(text, add_special_tokens=False).ids
+
+
 def test_special_tokens_in_texts():
     """Against a tokenizer as loaded."""
     from tokenizers import Tokenizer
