@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 from .common import Scratch, small
 
 BITS = 256
-#: Documents in an ordered bucket, on average.
+#: Documents in an ordered bucket, about, as long as this makes no more than MOST_BUCKETS.
 BUCKET_ROWS = 2_000
-QUANTILES = 256
+MOST_BUCKETS = 1 << 16
+FAN = 256
 #: Bytes of bucket heads up to which they are broadcast.
 HEAD_BYTES = 8_000_000
-LEAST = -(1 << 63)
 
 
 def with_canonical(df: DataFrame, text: str, to: str) -> DataFrame:
@@ -38,27 +38,33 @@ def digest(canon: Column, bits: int = BITS) -> Column:
     return F.substring(wide, 1, bits // 4)
 
 
-def _bucket(docs: DataFrame, bucket_rows: int) -> Column:
-    """A bucket number that never falls as doc_id rises, of about ``bucket_rows`` documents.
+def _bucket(docs: DataFrame, scratch: Scratch, bucket_rows: int) -> tuple[DataFrame, DataFrame]:
+    """``docs`` (doc_id, h, ...) with a bucket that never falls in the order (doc_id, h), nulls first; and the
+    buckets' first rows: bucket, f_id, f_h, before (the bucket before, for the first one the last).
 
-    Quantiles of doc_id come from a sketch; between two of them buckets have equal width. Null ids
-    count as smaller than any other.
+    The keys alone are sorted by range, and each ``bucket_rows``-th begins a bucket: so equal ids, null
+    ids and dense runs of ids are divided like any others, by the hashes of their texts. Buckets grow
+    where they would be more than MOST_BUCKETS. A row finds its bucket in a tree of two levels, FAN wide.
     """
-    r = docs.agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
-    want = max(1, -(-r["n"] // bucket_rows))
-    top = min(QUANTILES, want)
-    sub = -(-want // top)
-    if want == 1 or r["lo"] is None:
-        return F.lit(0)
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / top for i in range(1, top)], 20 * QUANTILES).alias("q")).first()["q"] if top > 1 else []
-    cuts = sorted(set(cuts))
-    at = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>"), lambda c: c <= F.col("doc_id")))
-    if sub == 1:
-        return F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(at)
-    edges = [r["lo"], *cuts, r["hi"] + 1]
-    low, high = (F.get(F.array(*[F.lit(float(e)) for e in es]), at) for es in (edges[:-1], edges[1:]))
-    part = F.least(F.lit(sub - 1), F.floor((F.col("doc_id").cast("double") - low) * sub / F.greatest(F.lit(1.0), high - low)))
-    return F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(at * sub + part.cast("int"))
+    key = F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), "h")
+    n = docs.count()
+    every = max(bucket_rows, -(-n // MOST_BUCKETS))
+    keys = docs.select(key.alias("k")).repartitionByRange("k").sortWithinPartitions("k").withColumn("at", F.monotonically_increasing_id())
+    place = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    # rows that repeat in full begin one bucket at most
+    cuts = scratch.table(keys.filter(place % every == 0).select("k").distinct(), "cuts")
+    order = "over (order by k)"  # at most MOST_BUCKETS rows and one for each partition
+    cuts = scratch.table(cuts.select("k", F.expr(f"row_number() {order} - 1").alias("bucket"), F.expr(f"lag(0, 1, 1) {order} = 1").alias("first")), "buckets")
+    heads = [r["k"] for r in cuts.filter(F.col("bucket") % FAN == 0).orderBy("k").select("k").collect()]  # a FAN-th of them
+    upper = F.array(*[F.struct(F.lit(k["known"]).alias("known"), F.lit(k["id"]).cast("long").alias("id"), F.lit(k["h"]).cast("long").alias("h")) for k in heads])
+    branch = F.size(F.filter(upper, lambda c: c <= F.col("k"))) - 1 if heads else F.lit(0)
+    leaves = cuts.groupBy(F.expr(f"bucket div {FAN}").cast("int").alias("branch")).agg(F.array_sort(F.collect_list("k")).alias("leaf"))  # FAN each
+    rows = docs.withColumn("k", key).withColumn("branch", branch).join(F.broadcast(leaves), "branch")
+    rows = rows.withColumn("bucket", F.col("branch") * FAN + F.size(F.filter("leaf", lambda c: c <= F.col("k"))) - 1).drop("k", "branch", "leaf")
+    # the buckets that have rows: each partition's first key begins one, so all of them
+    firsts = cuts.select("bucket", F.when(F.col("k.known"), F.col("k.id")).alias("f_id"), F.col("k.h").alias("f_h"))
+    last = cuts.agg(F.max("bucket")).first()[0]
+    return rows, firsts.withColumn("before", F.when(F.col("bucket") > 0, F.col("bucket") - 1).otherwise(F.lit(last)))
 
 
 def _edited(text: Column, after: Column) -> Column:
@@ -72,19 +78,17 @@ def fingerprint_edits(docs: DataFrame, bits: int = BITS, bucket_rows: int = BUCK
     A document's edited text has its last floor(n_chars / 4) code points replaced by the first as many
     of the next document's by ascending doc_id, or all there are; the first follows the last. Null text
     counts as empty. Null ids come first; rows of one doc_id stand in the order of a hash of their
-    texts. A single document follows itself. An empty table gives an empty result.
+    texts. A single document follows itself. Whole texts are read, however long; columns other than
+    doc_id and text are not read, whatever their names. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "fingerprints")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    bucket = _bucket(docs, bucket_rows)
-    keyed = docs.withColumn("h", F.xxhash64("text")).withColumn("bucket", bucket)
     # the first row of each bucket is what follows the last row of the bucket before
-    first = keyed.groupBy("bucket").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LEAST)).alias("i"), "h")).alias("f")).collect()
-    numbers = sorted(r["bucket"] for r in first)
-    before = dict(zip(numbers, [numbers[-1], *numbers[:-1]], strict=True)) if numbers else {}
-    firsts = spark.createDataFrame([(r["bucket"], before[r["bucket"]], r["f"]["i"], r["f"]["h"]) for r in first], "f_bucket int, before int, f_id long, f_h long")
-    heads = keyed.join(F.broadcast(firsts), (F.col("bucket") == F.col("f_bucket")) & (F.coalesce("doc_id", F.lit(LEAST)) == F.col("f_id")) & (F.col("h") == F.col("f_h")))
+    keyed, firsts = _bucket(docs.withColumn("h", F.xxhash64("text")), scratch, bucket_rows)
+    firsts = firsts.withColumnRenamed("bucket", "f_bucket")
+    same = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("h") == F.col("f_h"))
+    heads = docs.withColumn("h", F.xxhash64("text")).join(F.broadcast(firsts), same)  # MOST_BUCKETS rows of numbers at most
     heads = with_canonical(heads.select("before", "doc_id", "text", "h"), "text", "canon")
     heads = heads.select(F.col("before").alias("h_bucket"), F.col("doc_id").alias("head_id"), F.col("text").alias("head_text"), F.col("h").alias("head_h"), digest(F.col("canon"), bits).alias("head_fp"))
     heads = scratch.table(heads.dropDuplicates(["h_bucket"]), "heads")

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lode.llm.common import Scratch
 from lode.llm.fingerprints import fingerprint_edits
@@ -91,6 +92,25 @@ def test_repeated_rows_and_empty(odd, empty):
     assert fingerprint_edits(empty).collect() == []
 
 
+@pytest.mark.parametrize("fan,rows", [(256, 1), (2, 1), (3, 2)])
+def test_null_and_equal_ids_are_divided(spark, monkeypatch, fan, rows):
+    """The order of all rows against one sort, with ids that most rows share."""
+    from lode.llm import fingerprints
+
+    monkeypatch.setattr(fingerprints, "FAN", fan)
+    ids = [None] * 9 + [5] * 9 + [-7, 0, 6, 6]
+    docs = spark.createDataFrame([(i, f"text number {k} " * (k % 3 + 1)) for k, i in enumerate(ids)], "doc_id long, text string").repartition(3)
+    got = fingerprint_edits(docs, bucket_rows=rows).collect()
+    assert len(got) == len(ids)
+    hashed = docs.withColumn("h", F.xxhash64("text")).collect()
+    order = [r.text for r in sorted(hashed, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h))]
+    want = []
+    for text, after in zip(order, [*order[1:], order[0]], strict=True):
+        k = len(text) // 4
+        want.append(hashlib.sha256((text[: len(text) - k] + after[:k]).encode()).hexdigest())
+    assert sorted(g.edited_sha256 for g in got) == sorted(want)
+
+
 def test_before_in_two_levels(spark):
     from lode.llm.token_files import _before
 
