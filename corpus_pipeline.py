@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, exact dedup, near dedup, mixing, packing.
 
 Each stage is written as Parquet and read again as the next one's input. All but the last return the
-columns of ``documents``; the last returns the packed pieces.
+columns of ``documents``, whatever their names; the last returns the packed pieces. An empty table
+stays empty through all of them.
 """
 
 from __future__ import annotations
@@ -17,27 +18,31 @@ from lode.llm.packing import pack
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in one or more known languages; ``und`` goes."""
+    """Keeps documents in one or more known languages; ``und`` goes: null texts and those without a letter.
+
+    Rows are judged each by its own text, whatever their ids, repeats and other columns. Without a
+    row to learn from, all go.
+    """
     return keep_identified(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each set of equal texts."""
+    """Keeps one row of each set of equal texts, one with the largest doc_id; null ids are smallest."""
     return drop_exact_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each SimHash component."""
+    """Keeps one row of each SimHash component, one with the smallest doc_id; a null id only where there is no other."""
     return drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and cuts documents to the sources' targets."""
+    """Repeats and cuts documents to the sources' targets; rows with null or wordless text take no words and go."""
     return mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what the mix took into sequences."""
+    """Packs what the mix took into sequences: a row per piece, of repeated rows each."""
     return pack(docs)
 
 
@@ -48,6 +53,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``, one after the other."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):

@@ -44,6 +44,19 @@ def test_exact_drop(odd, empty):
     assert exact_dedup(empty).collect() == [] and drop_exact_copies(empty).collect() == []
 
 
+def test_names_do_not_depend_on_partitions(spark, sample):
+    """Blocks are numbered by their place in one sorted order."""
+    from lode.llm.common import Scratch
+    from lode.llm.exact_dedup import _numbered
+
+    values = sorted({(r.text or "")[:40] for r in sample.collect()})
+    for parts in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = _numbered(sample.selectExpr("substring(coalesce(text, ''), 1, 40) as b"), Scratch(spark, "test"), "n", "b").collect()
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert {r.b: r.name for r in got} == {v: i for i, v in enumerate(sorted(values, key=lambda v: v.encode()))}
+
+
 def brute_simhash(text):
     import xxhash
 
