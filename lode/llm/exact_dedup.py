@@ -4,7 +4,7 @@ Texts are cut into fixed-size blocks of bytes. The distinct blocks are sorted an
 so that a block has one integer name, whatever the number of partitions. Then adjacent names are
 paired, the distinct pairs are sorted and numbered in turn, and so on until each text has a single
 name. Names come from sorting contents, never from hashes, so two texts get one identity only if they
-are identical.
+are identical: a hash stands in the sort order only.
 
 A text whose (byte length, 64-bit hash) no other row has is alone by itself: the hash only ever
 separates texts. Naming runs on the others, so that texts without a partner are not shuffled. Rows
@@ -15,22 +15,27 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, lower_ascii, small, unused
 
 BLOCK_BYTES = 4096
+#: Blocks are sorted by so many first bytes, then by a hash, so that blocks that begin alike are dealt
+#: to several partitions too, then by all their bytes.
+PREFIX_BYTES = 32
 ALONE = -1
 
 
-def _numbered(keys: DataFrame, scratch: Scratch, name: str, *cols: str) -> DataFrame:
-    """Distinct keys with their places in the sorted order of all, as ``name``.
+def _numbered(keys: DataFrame, scratch: Scratch, name: str, cols: list[str], by: list[Column] | None = None) -> DataFrame:
+    """Distinct keys with their places in the sorted order of all, as ``name``: in the order of ``by``, then of the keys.
 
     A range sort gives each partition a run of keys; a key's place is its place in the run and the
-    lengths of the runs before. The table of runs has a row per partition.
+    lengths of the runs before. The table of runs has a row per partition. Ranges are cut at values of
+    ``by`` that Spark samples, so these should be short.
     """
-    ranged = keys.select(*cols).distinct().repartitionByRange(*cols).sortWithinPartitions(*cols)
+    by = by or [F.col(c) for c in cols]
+    ranged = keys.select(*cols).distinct().repartitionByRange(*by).sortWithinPartitions(*by, *cols)
     # the number has the partition in its upper bits and the place in the partition in its lower 33
     runs = scratch.table(ranged.withColumn("at", F.monotonically_increasing_id()), f"{name}-runs")
     part = F.shiftright("at", 33)
@@ -48,7 +53,7 @@ def block_identities(blocks: DataFrame, scratch: Scratch) -> DataFrame:
     Each level halves the names of a text, so the number of levels follows the logarithm of the
     longest text.
     """
-    names = _numbered(blocks, scratch, "names-0", "block")
+    names = _numbered(blocks, scratch, "names-0", ["block"], [F.substring("block", 1, PREFIX_BYTES), F.xxhash64("block")])
     most = blocks.agg(F.max("n")).first()[0] or 1
     current, done, level = scratch.table(blocks.join(names, "block").select("row", "n", "pos", "name"), "named-0"), [], 0
     for level in range(1, math.ceil(math.log2(most)) + 1 if most > 1 else 1):
@@ -59,7 +64,7 @@ def block_identities(blocks: DataFrame, scratch: Scratch) -> DataFrame:
             F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(ALONE)).alias("b"),
         )
         pairs = scratch.table(pairs, f"pairs-{level}")
-        names = _numbered(pairs, scratch, f"names-{level}", "a", "b")
+        names = _numbered(pairs, scratch, f"names-{level}", ["a", "b"])
         current = scratch.table(pairs.join(names, ["a", "b"]).select("row", F.expr("(n + 1) div 2").cast("int").alias("n"), "pos", "name"), f"named-{level}")
         scratch.drop(f"names-{level}", f"pairs-{level}")
     done.append(current.filter("n = 1").select("row", F.lit(level + 1).alias("level"), "name"))

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lode.llm.exact_dedup import drop_exact_copies, exact_dedup
 from lode.llm.near_dedup import Covering, bucket_links, drop_near_copies, near_dedup, simhash
@@ -49,12 +50,16 @@ def test_names_do_not_depend_on_partitions(spark, sample):
     from lode.llm.common import Scratch
     from lode.llm.exact_dedup import _numbered
 
-    values = sorted({(r.text or "")[:40] for r in sample.collect()})
+    values = sorted({(r.text or "")[:40] for r in sample.collect()}, key=lambda v: v.encode())
+    found = []
     for parts in ("1", "7"):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
-        got = _numbered(sample.selectExpr("substring(coalesce(text, ''), 1, 40) as b"), Scratch(spark, "test"), "n", "b").collect()
+        keys = sample.selectExpr("substring(coalesce(text, ''), 1, 40) as b")
+        for by in (None, [F.substring("b", 1, 4), F.xxhash64("b")]):
+            found.append({r.b: r.name for r in _numbered(keys, Scratch(spark, "test"), "n", ["b"], by).collect()})
         spark.conf.set("spark.sql.shuffle.partitions", "4")
-        assert {r.b: r.name for r in got} == {v: i for i, v in enumerate(sorted(values, key=lambda v: v.encode()))}
+    assert found[0] == found[2] == {v: i for i, v in enumerate(values)}
+    assert found[1] == found[3] and sorted(found[1].values()) == list(range(len(values)))
 
 
 def brute_simhash(text):
