@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -11,10 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType
 
-from ..functions.text import dot, sentences
+from ..functions.text import dot
 from .retrieval import DIM, hashed_counts
 
 SIZE, OVERLAP, SEMANTIC_THRESHOLD, PREFIX = 400, 50, 0.5, 80
+_SENTENCE = re.compile(r"(?<=[.!?])\s+")
 METHODS = ("Recursive", "By Sentence", "By Markdown Headers", "Semantic")
 
 
@@ -25,34 +27,27 @@ def validate(size: int, overlap: int) -> None:
         raise ValueError(f"overlap must be in [0, chunk_size), got {overlap}")
 
 
-def by_sentence(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
-    """Sentences packed up to ``size``, each chunk opening with the sentences that fit ``overlap``; a fold."""
-    none = F.array().cast("array<string>")
-    spaced = lambda n, s: n + F.length(s) + F.when(n > 0, 1).otherwise(0)  # noqa: E731  length once joined
+def split_sentences(text: str) -> list[str]:
+    """Pieces after a full stop, exclamation or question mark with white space, stripped, blanks dropped."""
+    return [x for p in _SENTENCE.split(text) if (x := p.strip())]
 
-    def suffix(current: Column) -> Column:
-        """The longest run of last sentences that fits the overlap, and its joined length."""
-        start = F.struct(none.alias("kept"), F.lit(0).alias("n"), F.lit(True).alias("open"))
 
-        def step(a: Column, s: Column) -> Column:
-            fits = a["open"] & (a["n"] + F.length(s) <= overlap)
-            return F.when(fits, F.struct(F.concat(F.array(s), a["kept"]).alias("kept"), spaced(a["n"], s).alias("n"), F.lit(True).alias("open"))).otherwise(
-                F.struct(a["kept"].alias("kept"), a["n"].alias("n"), F.lit(False).alias("open"))
-            )
-
-        return F.aggregate(F.reverse(current), start, step)
-
-    def pack(a: Column, s: Column) -> Column:
-        full = (a["n"] + F.length(s) > size) & (F.size(a["current"]) > 0)
-        carry = suffix(a["current"])
-        add = F.length(s) + 1
-        return F.when(
-            full,
-            F.struct(F.concat(a["chunks"], F.array(F.array_join(a["current"], " "))).alias("chunks"), F.concat(carry["kept"], F.array(s)).alias("current"), (carry["n"] + add).alias("n")),
-        ).otherwise(F.struct(a["chunks"].alias("chunks"), F.concat(a["current"], F.array(s)).alias("current"), (a["n"] + add).alias("n")))
-
-    end = F.aggregate(sentences(text), F.struct(none.alias("chunks"), none.alias("current"), F.lit(0).alias("n")), pack)
-    return F.when(F.size(end["current"]) > 0, F.concat(end["chunks"], F.array(F.array_join(end["current"], " ")))).otherwise(end["chunks"])
+def pack_sentences(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
+    """Sentences packed up to ``size``, each chunk opening with the last sentences that fit ``overlap``."""
+    out: list[str] = []
+    current: list[str] = []
+    n = 0
+    for s in split_sentences(text):
+        if current and n + len(s) > size:
+            out.append(" ".join(current))
+            first, n = len(current), 0
+            while first and n + len(current[first - 1]) <= overlap:
+                first -= 1
+                n += len(current[first]) + (n > 0)
+            current = current[first:]
+        current.append(s)
+        n += len(s) + 1
+    return [*out, " ".join(current)] if current else out
 
 
 SPLITS = ("\n\n", "\n", " ", "")
@@ -62,7 +57,8 @@ def split_recursive(text: str, size: int = SIZE, overlap: int = OVERLAP, splits:
     """Split at the coarsest separator present, merge small pieces up to ``size``, recurse into large ones."""
     at = next(i for i, s in enumerate(splits) if not s or s in text)
     sep, finer = splits[at], splits[at + 1 :]
-    pieces = list(text) if not sep else [p for p in re.split(f"(?={re.escape(sep)})", text) if p]
+    head, *tail = text.split(sep) if sep else ["", *text]
+    pieces = [p for p in (head, *(sep + x for x in tail)) if p]
     out: list[str] = []
     small: list[str] = []
     for piece in [*pieces, None]:
@@ -139,50 +135,46 @@ def split_headers(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[s
     return out or [text]
 
 
-def _udf(split, size: int, overlap: int):
-    @pandas_udf(ArrayType(StringType()))
-    def run(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: split(t, size, overlap) if t else [])
-
-    return run
-
-
-def semantic(text: Column, threshold: float = SEMANTIC_THRESHOLD) -> Column:
-    """Runs of sentences whose neighbours' stand-in embeddings are alike; the rule of ``semantic_groups``, row by row.
+def group_sentences(text: str, threshold: float = SEMANTIC_THRESHOLD, cache: dict[str, int] | None = None) -> list[str]:
+    """Runs of sentences whose neighbours' stand-in embeddings are alike; the rule of ``semantic_groups``.
 
     One sentence or none: the text as it is, or nothing if it is blank.
     """
-
-    @pandas_udf(ArrayType(StringType()))
-    def run(parts: pd.Series) -> pd.Series:
+    found, cache = split_sentences(text), {} if cache is None else cache
+    if len(found) < 2:
+        return [text] if found else []
+    groups: list[list[str]] = []
+    last = None
+    for s in found:
+        v = hashed_counts(s, cache, DIM)
+        v /= np.linalg.norm(v) or 1.0
+        if last is None or round(float(last @ v), 9) < threshold:
+            groups.append([])
+        groups[-1].append(s)
+        last = v
+    return [" ".join(g) for g in groups]
+
+
+def splitter(method: str = "Recursive", size: int = SIZE, overlap: int = OVERLAP, threshold: float = SEMANTIC_THRESHOLD) -> Callable[[str], list[str]]:
+    """Text -> chunk texts; an unknown method is Recursive. Semantic checks size and overlap and uses neither."""
+    validate(size, overlap)
+    if method == "Semantic":
         cache: dict[str, int] = {}
-
-        def grouped(found: list[str]) -> list[str]:
-            groups: list[list[str]] = []
-            last = None
-            for s in found:
-                v = hashed_counts(s, cache, DIM)
-                v /= np.linalg.norm(v) or 1.0
-                if last is None or round(float(last @ v), 9) < threshold:
-                    groups.append([])
-                groups[-1].append(s)
-                last = v
-            return [" ".join(g) for g in groups]
-
-        return parts.map(grouped)
-
-    parts = sentences(text)
-    return F.when(F.size(parts) > 1, run(parts)).when(F.size(parts) == 1, F.array(text)).otherwise(F.array().cast("array<string>"))
+        return lambda t: group_sentences(t, threshold, cache)
+    split = {"By Sentence": pack_sentences, "By Markdown Headers": split_headers}.get(method, split_recursive)
+    return lambda t: split(t, size, overlap)
 
 
 def chunk_texts(text: Column, method: str = "Recursive", size: int = SIZE, overlap: int = OVERLAP, threshold: float = SEMANTIC_THRESHOLD) -> Column:
-    """array of chunk texts; an unknown method is Recursive. Semantic checks size and overlap and uses neither."""
+    """array of chunk texts, by ``splitter``; null has none. A document at a time, in Arrow batches."""
     validate(size, overlap)
-    if method == "By Sentence":
-        return by_sentence(text, size, overlap)
-    if method == "Semantic":
-        return semantic(text, threshold)
-    return _udf(split_headers if method == "By Markdown Headers" else split_recursive, size, overlap)(text)
+
+    @pandas_udf(ArrayType(StringType()))
+    def run(texts: pd.Series) -> pd.Series:
+        split = splitter(method, size, overlap, threshold)
+        return texts.map(lambda t: split(t) if t else [])
+
+    return run(text)
 
 
 def semantic_groups(sentences_: DataFrame, key: str, pos: str, text: str, embedding: str, threshold: float = SEMANTIC_THRESHOLD) -> DataFrame:
@@ -195,28 +187,43 @@ def semantic_groups(sentences_: DataFrame, key: str, pos: str, text: str, embedd
     return parts.select(key, "chunk_id", F.array_join(F.transform("_parts", lambda p: p["t"]), " ").alias("text"))
 
 
-def with_offsets(text: Column, chunks: Column) -> Column:
-    """array of struct(chunk_id, text, start_char, end_char): each chunk is sought after the one before; a fold.
+CHUNKS = "array<struct<chunk_id:int,text:string,start_char:int,end_char:int>>"
+
+
+def offsets(text: str, chunks: list[str]) -> list[tuple[int, str, int, int]]:
+    """(chunk_id, text, start_char, end_char): each chunk is sought after the start of the one before.
 
     A chunk whose first 80 characters are not found starts where the search did.
     """
-    kind = "array<struct<chunk_id:int,text:string,start_char:int,end_char:int>>"
-    start = F.struct(F.array().cast(kind).alias("out"), F.lit(0).alias("offset"))
+    out, at = [], 0
+    for i, c in enumerate(chunks):
+        found = text.find(c[:PREFIX], at)
+        begin = at if found < 0 else found
+        out.append((i, c, begin, begin + len(c)))
+        at = begin + 1
+    return out
 
-    def step(a: Column, c: Column) -> Column:
-        at = F.call_function("locate", F.substring(c, 1, PREFIX), text, a["offset"] + 1) - 1
-        begin = F.when(at < 0, a["offset"]).otherwise(at).cast("int")
-        row = F.struct(F.size(a["out"]).alias("chunk_id"), c.alias("text"), begin.alias("start_char"), (begin + F.length(c)).alias("end_char"))
-        return F.struct(F.concat(a["out"], F.array(row)).alias("out"), (begin + 1).alias("offset"))
 
-    return F.aggregate(chunks, start, step)["out"]
+def with_offsets(text: Column, chunks: Column) -> Column:
+    """array of struct(chunk_id, text, start_char, end_char), by ``offsets``."""
+
+    @pandas_udf(CHUNKS)
+    def run(texts: pd.Series, parts: pd.Series) -> pd.Series:
+        return pd.Series([offsets(t or "", list(c)) if c is not None else [] for t, c in zip(texts, parts, strict=True)])
+
+    return run(text, chunks)
 
 
 def chunk_documents(docs: DataFrame, method: str = "Recursive", size: int = SIZE, overlap: int = OVERLAP, threshold: float = SEMANTIC_THRESHOLD) -> DataFrame:
-    """(doc_id, text, ...) -> doc_id, chunk_id, text, start_char, end_char. No shuffle: a projection and an explode."""
+    """(doc_id, text, ...) -> doc_id, chunk_id, text, start_char, end_char. No shuffle: one pass and an explode."""
     validate(size, overlap)
-    rows = docs.select("doc_id", "text", chunk_texts(F.col("text"), method, size, overlap, threshold).alias("_c"))
-    return rows.select("doc_id", F.explode(with_offsets(F.col("text"), F.col("_c"))).alias("c")).select("doc_id", "c.*")
+
+    @pandas_udf(CHUNKS)
+    def run(texts: pd.Series) -> pd.Series:
+        split = splitter(method, size, overlap, threshold)
+        return texts.map(lambda t: offsets(t, split(t)) if t else [])
+
+    return docs.select("doc_id", F.inline(run(F.col("text"))))
 
 
 def summarise(chunks: DataFrame) -> DataFrame:

@@ -14,17 +14,35 @@ def changed(rows: DataFrame, key: str, order: str, content: str) -> DataFrame:
 
 
 def accepted(times: Column, limit: int = LIMIT, seconds: int = WINDOW_SECONDS) -> Column:
-    """Of sorted times (in seconds), those accepted: fewer than ``limit`` accepted in the window before. A fold."""
+    """struct(n, last, live) of sorted times: how many are accepted, the last of them, and those within the window.
 
-    def step(kept: Column, t: Column) -> Column:
-        live = F.filter(kept, lambda x: t - x < seconds)
-        return F.when(F.size(live) < limit, F.concat(kept, F.array(t))).otherwise(kept)
+    A time is accepted if fewer than ``limit`` accepted ones lie in the window before. A fold whose
+    state holds ``limit`` times at most.
+    """
+    none = F.lit(None).cast("bigint")
+    start = F.struct(F.lit(0).cast("bigint").alias("n"), none.alias("last"), F.array().cast("array<bigint>").alias("live"))
 
-    return F.aggregate(times, F.array().cast("array<bigint>"), step)
+    def step(state: Column, t: Column) -> Column:
+        live = F.filter(state["live"], lambda x: t - x < seconds)
+        open_ = F.size(live) < limit
+        return F.struct(
+            (state["n"] + open_.cast("bigint")).alias("n"), F.when(open_, t).otherwise(state["last"]).alias("last"), F.when(open_, F.concat(live, F.array(t))).otherwise(live).alias("live")
+        )
+
+    return F.aggregate(times, start, step)
 
 
 def rate_limit(events: DataFrame, key: str, ts: str, limit: int = LIMIT, seconds: int = WINDOW_SECONDS) -> DataFrame:
-    """key, n_events, n_accepted, last_accepted per key."""
-    by = events.groupBy(key).agg(F.sort_array(F.collect_list(F.unix_micros(F.col(ts).cast("timestamp")))).alias("_t"))
-    kept = accepted(F.col("_t"), limit, seconds * 1_000_000)
-    return by.select(key, F.size("_t").cast("long").alias("n_events"), kept.alias("_k")).select(key, "n_events", F.size("_k").cast("long").alias("n_accepted"), F.timestamp_micros(F.element_at("_k", -1)).cast(events.schema[ts].dataType).alias("last_accepted"))
+    """key, n_events, n_accepted, last_accepted per key.
+
+    A pause of a window's length or more empties the state, so a key's history is cut there and its
+    pieces are folded apart: a busy key is not one row.
+    """
+    order = f"partition by {key} order by _t"
+    rows = events.select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"))
+    rows = rows.withColumn("_new", F.expr(f"case when _t - lag(_t) over ({order}) < {seconds * 1_000_000} then 0 else 1 end"))
+    rows = rows.withColumn("_piece", F.expr(f"sum(_new) over ({order} rows between unbounded preceding and current row)"))
+    pieces = rows.groupBy(key, "_piece").agg(F.sort_array(F.collect_list("_t")).alias("_t"))
+    pieces = pieces.select(key, F.size("_t").cast("long").alias("_n"), accepted(F.col("_t"), limit, seconds * 1_000_000).alias("_a"))
+    by = pieces.groupBy(key).agg(F.sum("_n").alias("n_events"), F.sum("_a.n").alias("n_accepted"), F.max("_a.last").alias("_last"))
+    return by.select(key, "n_events", "n_accepted", F.timestamp_micros("_last").cast(events.schema[ts].dataType).alias("last_accepted"))

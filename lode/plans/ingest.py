@@ -40,10 +40,15 @@ def chunk_by_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(C.chunk_texts(F.col("text"), "By Sentence")).alias("chunk_id", "text"))
 
 
-@query(f"""WITH {PACK}, o AS (SELECT doc_id, list_reduce(list_prepend(struct_pack(offs := []::BIGINT[], at := 0::BIGINT, c := '', t := text), list_transform(cs, lambda x: struct_pack(offs := []::BIGINT[], at := 0::BIGINT, c := x, t := text))),
+#: Each chunk is sought after the start of the one before: a fold that carries the place.
+OFFSETS = f"""{PACK},
+    o AS (SELECT doc_id, list_reduce(list_prepend(struct_pack(offs := []::BIGINT[], at := 0::BIGINT, c := '', t := text), list_transform(cs, lambda x: struct_pack(offs := []::BIGINT[], at := 0::BIGINT, c := x, t := text))),
         lambda a, b: struct_pack(offs := list_append(a.offs, CASE WHEN strpos(substr(b.t, a.at + 1), substr(b.c, 1, 80)) > 0 THEN a.at + strpos(substr(b.t, a.at + 1), substr(b.c, 1, 80)) - 1 ELSE a.at END),
-            at := CASE WHEN strpos(substr(b.t, a.at + 1), substr(b.c, 1, 80)) > 0 THEN a.at + strpos(substr(b.t, a.at + 1), substr(b.c, 1, 80)) - 1 ELSE a.at END + 1, c := '', t := b.t)) AS r, cs FROM c)
-    SELECT doc_id, i::INT AS chunk_id, r.offs[i + 1]::INT AS start_char, (r.offs[i + 1] + length(cs[i + 1]))::INT AS end_char FROM (SELECT doc_id, r, cs, unnest(range(0, len(cs))) AS i FROM o)""")
+            at := CASE WHEN strpos(substr(b.t, a.at + 1), substr(b.c, 1, 80)) > 0 THEN a.at + strpos(substr(b.t, a.at + 1), substr(b.c, 1, 80)) - 1 ELSE a.at END + 1, c := '', t := b.t)) AS r, cs FROM c),
+    oc AS (SELECT doc_id, i::INT AS chunk_id, cs[i + 1] AS text, r.offs[i + 1]::INT AS start_char, (r.offs[i + 1] + length(cs[i + 1]))::INT AS end_char FROM (SELECT doc_id, r, cs, unnest(range(0, len(cs))) AS i FROM o))"""
+
+
+@query(f"WITH {OFFSETS} SELECT doc_id, chunk_id, start_char, end_char FROM oc")
 def chunk_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.chunk_documents(table(spark, sf_dir, "documents"), "By Sentence").select("doc_id", "chunk_id", "start_char", "end_char")
 

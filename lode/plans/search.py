@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions.text import dot, highlight, html_escape, l2_normalise, token_estimate, tokenize
 from ..operators import retrieval as R
+from ..operators.chunking import chunk_documents
+from ..scratch import Scratch
+from .ingest import OFFSETS
 from .registry import query, table
 
 TOKENS = "list_filter(string_split_regex(lower({}), '\\s+'), lambda x: x <> '')"
+#: The chunk table: whole documents, or their chunks of sentences.
+WHOLE = "(SELECT doc_id AS chunk_id, text, 0::INT AS start_char, length(text)::INT AS end_char FROM documents)"
 DOCS = f"""
-    d AS (SELECT doc_id AS chunk_id, text, {TOKENS.format("text")} AS toks FROM documents),
+    d AS (SELECT chunk_id, text, start_char, end_char, {TOKENS.format("text")} AS toks FROM {WHOLE}),
     q AS (SELECT item_id AS query_id, text, {TOKENS.format("text")} AS toks FROM benchmark),
     p AS (SELECT chunk_id, token, count(*) AS tf FROM (SELECT chunk_id, unnest(toks) AS token FROM d) GROUP BY chunk_id, token),
     qt AS (SELECT query_id, token, count(*) AS qf FROM (SELECT query_id, unnest(toks) AS token FROM q) GROUP BY query_id, token),
@@ -38,8 +43,8 @@ HYBRID = f"""{BM25}, {VECTORS}, {CANDIDATES.format(candidates=50)},
     h AS (SELECT coalesce(b.query_id, v.query_id) AS query_id, coalesce(b.chunk_id, v.chunk_id) AS chunk_id, coalesce(bm25, 0.0) AS bm25, coalesce(vector, 0.0) AS vector,
                  round(0.4 * coalesce(bm25, 0.0) + 0.6 * coalesce(vector, 0.0), 6) AS score
           FROM b FULL JOIN v ON b.query_id = v.query_id AND b.chunk_id = v.chunk_id),
-    top AS (SELECT query_id, rank::INT AS rank, chunk_id, score, bm25, vector, text FROM (
-        SELECT h.*, text, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, h.chunk_id DESC) AS rank FROM h JOIN documents ON doc_id = h.chunk_id WHERE score > 0) WHERE rank <= 5)"""
+    top AS (SELECT query_id, rank::INT AS rank, chunk_id, text, start_char, end_char, score, bm25, vector FROM (
+        SELECT h.*, text, start_char, end_char, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, h.chunk_id DESC) AS rank FROM h JOIN d ON d.chunk_id = h.chunk_id WHERE score > 0) WHERE rank <= 5)"""
 TRACE = f"""{BM25}, {VECTORS},
     t AS (SELECT allv.query_id, allv.chunk_id, coalesce(bm25, 0.0) AS bm25, vector, round(0.4 * coalesce(bm25, 0.0) + 0.6 * vector, 6) AS score
           FROM allv LEFT JOIN b ON b.query_id = allv.query_id AND b.chunk_id = allv.chunk_id)"""
@@ -49,6 +54,10 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.lit(0).alias("corpus"), F.col("doc_id").alias("chunk_id"), "text")
 
 
+def index(spark: SparkSession, sf_dir: str) -> R.Index:
+    return R.build_index(chunks(spark, sf_dir))
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
@@ -60,13 +69,13 @@ def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {DOCS} SELECT token, df FROM df")
 def doc_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.document_frequency(chunks(spark, sf_dir)).select("token", "df")
+    return index(spark, sf_dir).document_frequency().select("token", "df")
 
 
 @query(f"WITH {DOCS} SELECT token, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM df, st")
 def trace_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chunks(spark, sf_dir)
-    return R.trace_idf(R.document_frequency(c), R.corpus_stats(c)).select("token", F.round("idf", 6).alias("idf"))
+    i = index(spark, sf_dir)
+    return R.trace_idf(i.document_frequency(), i.stats()).select("token", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {BM25} SELECT query_id, chunk_id, round(bm25_raw, 6) AS bm25_raw FROM b")
@@ -98,11 +107,34 @@ def mode_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.search(chunks(spark, sf_dir), items(spark, sf_dir), R.Search(mode=R.VECTOR)).select("query_id", "rank", "chunk_id", "score")
 
 
-@query(f"WITH {HYBRID} SELECT query_id, rank, chunk_id, score, bm25, vector, text FROM top")
+@query(f"WITH {HYBRID} SELECT query_id, rank, chunk_id, text, start_char, end_char, score, bm25, vector FROM top")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.search(chunks(spark, sf_dir), items(spark, sf_dir))
 
 
+#: A document's chunks have its id and their number in one id.
+NUMBERED = f"(WITH {OFFSETS} SELECT doc_id * 100000 + chunk_id AS chunk_id, text, start_char, end_char FROM oc)"
+
+
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of sentences of all documents, as one corpus."""
+    c = chunk_documents(table(spark, sf_dir, "documents"), "By Sentence")
+    return c.select(F.lit(0).alias("corpus"), (F.col("doc_id") * 100_000 + F.col("chunk_id")).alias("chunk_id"), "text", "start_char", "end_char")
+
+
+@query(f"WITH {HYBRID} SELECT query_id, rank, chunk_id, text, start_char, end_char, score, bm25, vector FROM top".replace(WHOLE, NUMBERED))
+def passage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.search(passages(spark, sf_dir), items(spark, sf_dir))
+
+
+@query(f"WITH {DOCS} SELECT p.chunk_id, p.token, p.tf, len(toks)::INT AS n_tokens FROM p JOIN d ON d.chunk_id = p.chunk_id".replace(WHOLE, NUMBERED))
+def index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents chunked, indexed and written; the postings of what is read back."""
+    folder = Scratch(spark, "index").path("tables")
+    R.build_index(passages(spark, sf_dir), folder)
+    return R.open_index(spark, folder).postings().select("chunk_id", "token", "tf", "n_tokens")
+
+
 @query(f"WITH {HYBRID} SELECT query_id, rank, chunk_id, score FROM top WHERE score >= 0.75")
 def score_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.search(chunks(spark, sf_dir), items(spark, sf_dir), R.Search(score_threshold=0.75)).select("query_id", "rank", "chunk_id", "score")
@@ -148,6 +180,11 @@ def trace_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.trace(chunks(spark, sf_dir), items(spark, sf_dir)).select("query_id", "chunk_id", "bm25", "vector", "score")
 
 
+@query(f"WITH {TRACE} SELECT query_id, rank::INT AS rank, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id DESC) AS rank FROM t) WHERE rank <= 5")
+def trace_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.trace_top(R.trace(chunks(spark, sf_dir), items(spark, sf_dir)))
+
+
 @query(f"WITH {DOCS}, m AS (SELECT q.query_id, d.chunk_id, list_filter(q.toks, lambda x: list_contains(d.toks, x)) AS m FROM q CROSS JOIN d) SELECT query_id, chunk_id, array_to_string(m, ' ') AS matched FROM m WHERE len(m) > 0")
 def trace_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.trace_matches(chunks(spark, sf_dir), items(spark, sf_dir)).select("query_id", "chunk_id", F.array_join("matched", " ").alias("matched"))
@@ -158,7 +195,11 @@ def idf_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.query_idf(chunks(spark, sf_dir), items(spark, sf_dir))
 
 
-@query()
+WRAP = "CASE WHEN list_contains(m, regexp_replace(lower(w), '^[.,!?;:\"''()\\[\\]{{}}—-]+|[.,!?;:\"''()\\[\\]{{}}—-]+$', '', 'g')) THEN '<span style=\"background-color:#F9E79F;padding:1px 3px;border-radius:3px;font-weight:600\">' || w || '</span>' ELSE w END"
+
+
+@query(f"""WITH {HYBRID}, m AS (SELECT top.*, list_filter(q.toks, lambda x: list_contains(d.toks, x)) AS m, list_filter(string_split_regex(top.text, '\\s+'), lambda x: x <> '') AS ws FROM top JOIN q ON q.query_id = top.query_id JOIN d ON d.chunk_id = top.chunk_id)
+    SELECT query_id, rank, chunk_id, CASE WHEN len(m) = 0 THEN text ELSE array_to_string(list_transform(ws, lambda w: {WRAP.format()}), ' ') END AS marked FROM m""")
 def trace_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, q = chunks(spark, sf_dir), items(spark, sf_dir)
     hits = R.search(c, q).select("query_id", "rank", "chunk_id", "text")
