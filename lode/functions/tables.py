@@ -15,10 +15,13 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from .text import strip
 
+# A separator row; bullets, numbers and stops that keep lines of a cell apart.
 SEPARATOR = "^[|](\\s*:?-{3,}:?\\s*[|])+$"
 BULLET = "^[-●○*■□▪▸►•]\\s"
 NUMBERED = "^\\d+[.)]\\s"
 STOPS = (".", ":", "!", "?", ";")
+# Fixed value: characters of a label that is not a first cell's.
+LABEL = 80
 
 
 def is_separator(line: Column) -> Column:
@@ -83,6 +86,17 @@ def parse_row(line: Column) -> Column:
     return F.transform(F.split(bare, "[|]", -1), clean_cell)
 
 
+def generic_headers(headers: Column) -> Column:
+    """Whether all headers are empty or of the form ``Col 1``; no header at all counts."""
+    return F.forall(headers, lambda h: h.rlike("^(?i:col\\s*\\d+)?$"))
+
+
+def merged_row(cells: Column) -> Column:
+    """Whether a row has two cells at least that are not blank, all of them equal."""
+    filled = F.filter(F.transform(cells, strip), lambda c: c != "")
+    return (F.size(filled) > 1) & (F.size(F.array_distinct(filled)) == 1)
+
+
 def render_row(cells: Column) -> Column:
     """A pipe row; pipes inside cells become U+2223 and newlines ``<br>``."""
     safe = F.transform(cells, lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("∣")), F.lit("\n"), F.lit("<br>")))
@@ -103,8 +117,9 @@ _GENERIC = re.compile(r"(?:col\s*\d+)?", re.I)
 
 def _joins(prev: str, line: str) -> str:
     """Two fragments of a wrapped line: identifiers are glued, words get a blank."""
-    identifier = not {" "} & {*prev, *line} and {"_", "."} & {*prev, *line} and prev[-1].isalnum() and line[0].isalnum()
-    return f"{prev}{'' if identifier else ' '}{line}"
+    both = prev + line
+    identifier = " " not in both and ("_" in both or "." in both) and prev[-1].isalnum() and line[0].isalnum()
+    return both if identifier else f"{prev} {line}"
 
 
 def cell_text(cell: str) -> str:
@@ -157,14 +172,14 @@ def _entry(row: list[str], headers: list[str], number: int) -> Iterator[str]:
         return
     first = lambda cell: cell.split("\n")[0].strip()
     source = 0 if row[0].strip() else 1 if len(row) > 1 and row[1].strip() else None
-    label = (first(row[source]) if source == 0 else first(row[source])[:80]) if source is not None else ""
+    label = (first(row[source]) if source == 0 else first(row[source])[:LABEL]) if source is not None else ""
     label = label or f"Row {number}"
     yield f"- **{label}**:"
     for j, (header, value) in enumerate(zip(headers, row, strict=False)):
         if not value or not header.strip():
             continue
         lines = value.split("\n")
-        named = j == 0 and first(value) == label or j == 1 and not row[0].strip() and first(value)[:80] == label
+        named = j == 0 and first(value) == label or j == 1 and not row[0].strip() and first(value)[:LABEL] == label
         nested = [x.strip() for x in (lines[1:] if named else lines) if x.strip()]
         if not named and len(lines) == 1:
             yield f"  - {header}: {value}"

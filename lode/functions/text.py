@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed values, here and in the functions below: patterns of links, sheet names, page numbers, capitals, captions, data URIs.
 #: Unicode white space, with the separators U+001C to U+001F that Java's class leaves out.
 SPACE = "(?U)[\\s\\x1c-\\x1f]"
 QUERY_CHARS = 500

@@ -6,11 +6,16 @@ goes wrong becomes a column, not a failed job. Offline the hashed stand-in embed
 
 from __future__ import annotations
 
+import logging
+import os
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BooleanType, StringType
 
 from ..functions.text import l2_normalise
 
@@ -67,6 +72,54 @@ def complete_with(rows: DataFrame, client: Callable[[str], str], prompt: str = "
     return rows.mapInPandas(run, f"{columns}, {to} string, {to}_error string")
 
 
+_REFERENCE = re.compile(r"!\[([^\]]*)\]\(\s*(data:image/[^)]+?)\s*\)")
+
+
+def describe_images(md: Column, client: Callable[[str], str]) -> Column:
+    """Images given as data URIs become ``[Image: description]``; what goes wrong stands in place of the description."""
+
+    def described(m: re.Match) -> str:
+        try:
+            return f"[Image: {client(m[2]).strip()}]"
+        except Exception as e:  # the text carries it
+            return f"[Image: Image could not be described: {e}]"
+
+    @pandas_udf(StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _REFERENCE.sub(described, t) if t is not None else None)
+
+    return run(md)
+
+
+def client_for(make: Callable[[str], Callable[[str], str]], key: str | None = None, variable: str = "LODE_API_KEY") -> Callable[[str], str] | None:
+    """A client made with a key, the given one or the environment's; None without a key, or if it cannot be made."""
+    key = key or os.environ.get(variable)
+    if not key:
+        return None
+    try:
+        return make(key)
+    except Exception as e:
+        logging.getLogger(__name__).warning("no client: %s", e)
+        return None
+
+
+def pdf_page_rows(files: DataFrame) -> DataFrame:
+    """(path, content) -> path, page_no, text, n_images; files that cannot be read have no rows."""
+    from ..sources.pdf import pdf_pages
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for path, content in zip(b["path"], b["content"], strict=True):
+                try:
+                    out += [(path, *page) for page in pdf_pages(bytes(content))]
+                except Exception:  # told apart by encrypted_pdfs and by the extraction's errors
+                    continue
+            yield pd.DataFrame(out, columns=["path", "page_no", "text", "n_images"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, page_no int, text string, n_images int")
+
+
 def scanned_pdfs(page_rows: DataFrame, sample_pages: int = 3, chars: int = 30, share: float = 0.6) -> DataFrame:
     """(path, page_no from 1, text, n_images) -> path, scanned: most of the first pages are images with hardly any text."""
     first = page_rows.filter(F.col("page_no") <= sample_pages)
@@ -76,5 +129,11 @@ def scanned_pdfs(page_rows: DataFrame, sample_pages: int = 3, chars: int = 30, s
 
 
 def encrypted_pdfs(files: DataFrame) -> DataFrame:
-    """(path, content) -> path, encrypted: the file's trailer names an encryption dictionary."""
-    return files.select("path", (F.instr(F.decode("content", "ISO-8859-1"), "/Encrypt") > 0).alias("encrypted"))
+    """(path, content) -> path, encrypted: the file does not open with the empty password."""
+    from ..sources.pdf import needs_password
+
+    @pandas_udf(BooleanType())
+    def run(content: pd.Series) -> pd.Series:
+        return content.map(lambda c: needs_password(bytes(c)) if c is not None else False)
+
+    return files.select("path", run("content").alias("encrypted"))

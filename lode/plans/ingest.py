@@ -61,9 +61,41 @@ def chunk_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.semantic_groups(rows, "label", "vec_id", "t", "embedding", 0.0)
 
 
-@query()
+#: Words with the blank before them, merged into windows of 400 characters; a new window keeps the last words that fit 50 and leave room.
+WINDOWS = """
+    w AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '^ | $', '', 'g') AS text FROM documents),
+    p AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda x, i: CASE WHEN i = 1 THEN x ELSE ' ' || x END) AS ps FROM w WHERE text <> ''),
+    f AS (SELECT doc_id, list_reduce(list_transform(ps, lambda x: struct_pack(chunks := []::VARCHAR[], cur := [x], n := length(x))),
+            lambda a, b: CASE WHEN a.n + b.n > 400 THEN struct_pack(chunks := list_append(a.chunks, trim(array_to_string(a.cur, ''))),
+                cur := list_append(a.cur[len(a.cur) - len(list_filter(range(1, least(len(a.cur), 51) + 1), lambda k: length(array_to_string(a.cur[len(a.cur) - k + 1:], '')) <= least(50, 400 - b.n)))::INT + 1:], b.cur[1]),
+                n := length(array_to_string(a.cur[len(a.cur) - len(list_filter(range(1, least(len(a.cur), 51) + 1), lambda k: length(array_to_string(a.cur[len(a.cur) - k + 1:], '')) <= least(50, 400 - b.n)))::INT + 1:], '')) + b.n)
+              ELSE struct_pack(chunks := a.chunks, cur := list_append(a.cur, b.cur[1]), n := a.n + b.n) END) AS e FROM p),
+    c AS (SELECT doc_id, list_append(e.chunks, trim(array_to_string(e.cur, ''))) AS cs FROM f)"""
+
+
+@query(f"WITH {WINDOWS} SELECT doc_id, i::INT AS chunk_id, cs[i + 1] AS text FROM (SELECT doc_id, cs, unnest(range(0, len(cs))) AS i FROM c)")
 def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.chunk_documents(table(spark, sf_dir, "documents"))
+    flat = F.regexp_replace(F.regexp_replace("text", "(?U)\\s+", " "), "^ | $", "")
+    return C.chunk_documents(table(spark, sf_dir, "documents").select("doc_id", flat.alias("text"))).select("doc_id", "chunk_id", "text")
+
+
+#: Sentences with their stand-in vectors; neighbours whose product is below one half are in different chunks.
+SEMANTIC = f"""
+    s AS (SELECT doc_id, text, {SENTENCES} AS ss FROM documents),
+    x AS (SELECT doc_id, i AS pos, ss[i + 1] AS t FROM (SELECT doc_id, ss, unnest(range(0, len(ss))) AS i FROM s WHERE len(ss) > 1)),
+    k AS (SELECT doc_id, pos, ('0x' || substr(md5(w), 1, 7))::BIGINT % 64 AS b FROM (SELECT doc_id, pos, unnest(list_filter(string_split_regex(lower(t), '\\s+'), lambda y: y <> '')) AS w FROM x)),
+    h AS (SELECT doc_id, pos, b, count(*)::DOUBLE AS n FROM k GROUP BY 1, 2, 3),
+    l AS (SELECT doc_id, pos, sqrt(sum(n * n)) AS norm FROM h GROUP BY 1, 2),
+    d AS (SELECT a.doc_id, b.pos, sum(a.n * b.n) AS dot FROM h a JOIN h b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 AND a.b = b.b GROUP BY 1, 2),
+    n AS (SELECT x.doc_id, x.pos, x.t, CASE WHEN x.pos > 0 AND round(coalesce(dot, 0) / coalesce(l.norm, 1) / coalesce(q.norm, 1), 9) < 0.5 THEN 1 ELSE 0 END AS new
+          FROM x LEFT JOIN d ON d.doc_id = x.doc_id AND d.pos = x.pos LEFT JOIN l ON l.doc_id = x.doc_id AND l.pos = x.pos LEFT JOIN l q ON q.doc_id = x.doc_id AND q.pos = x.pos - 1),
+    g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM n),
+    sc AS (SELECT doc_id, g::INT AS chunk_id, string_agg(t, ' ' ORDER BY pos) AS text FROM g GROUP BY 1, 2 UNION ALL SELECT doc_id, 0::INT, text FROM s WHERE len(ss) = 1)"""
+
+
+@query(f"WITH {SEMANTIC} SELECT doc_id, chunk_id, text FROM sc")
+def chunk_semantic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.chunk_documents(table(spark, sf_dir, "documents"), "Semantic").select("doc_id", "chunk_id", "text")
 
 
 @query(f"WITH {PACK} SELECT 'By Sentence' AS method, count(*) AS n_chunks, round(avg(length(x)), 6) AS avg_chars FROM (SELECT unnest(cs) AS x FROM c)")

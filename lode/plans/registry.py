@@ -28,11 +28,3 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-from . import ingest, markdown, search  # noqa: E402, F401  they register themselves
-
-
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hybrid search of every benchmark item over all documents."""
-    return QUERIES["hybrid_search"](spark, sf_dir)

@@ -159,9 +159,9 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 # 400 candidates: some have negative products, and rank below vectors that are no candidates and count 0
 @query(f"WITH {NEAR} SELECT query_id, id, CASE WHEN r <= 400 THEN score ELSE 0.0 END AS score, (r <= 400) AS candidate FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM s)")
 def knn_candidates_hybrid_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    every = R.all_scores(v.filter("id % 50 = 0").withColumnRenamed("id", "query_id"), v).select("query_id", "id")  # the stated queries
     found = near(spark, sf_dir, 400)
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"))
-    every = v.crossJoin(F.broadcast(v.filter("id % 50 = 0").select(F.col("id").alias("query_id"))))  # the stated queries
     return every.join(found, ["query_id", "id"], "left").select("query_id", "id", F.coalesce("score", F.lit(0.0)).alias("score"), F.col("score").isNotNull().alias("candidate"))
 
 

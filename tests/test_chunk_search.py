@@ -138,3 +138,46 @@ def test_knn_runs_queries_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(R, "MOST_QUERIES", 4)
     got = R.knn(q, v, 4).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len({r.query_id for r in got}) == 11
+
+
+def test_projection_keeps_sides_and_takes_queries(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 4)) * [5, 2, 1, 0.5] + 3
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, embedding array<double>")
+    got = {r.id: (r.x, r.y) for r in R.pca2(v).collect()}
+    centred = x - x.mean(0)
+    axes = np.linalg.svd(centred, full_matrices=False)[2][:2].T
+    axes = axes * np.sign(axes[np.abs(axes).argmax(0), range(2)])
+    assert np.allclose([got[i] for i in range(60)], centred @ axes)
+    asked = R.pca2(v, v.filter("id = 3")).collect()
+    assert len(asked) == 1 and np.allclose((asked[0].x, asked[0].y), got[3])
+    assert R.pca2(v.limit(0)).collect() == []
+
+
+def test_trace_has_every_pair(spark, monkeypatch):
+    c, q = small(spark)
+    want = sorted(map(str, R.trace(c, q).collect()))
+    assert len(want) == 12 and [r["rank"] for r in R.trace_top(R.trace(c, q), 2).filter("query_id = 3").orderBy("rank").collect()] == [1, 2]
+    monkeypatch.setattr(R, "MOST_QUERIES", 3)
+    assert sorted(map(str, R.trace(c, q).collect())) == want
+
+
+def test_native_sentence_fold_equals_python(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(50).collect()
+    from lode.functions.text import sentences
+
+    rows = spark.createDataFrame([(r.text,) for r in docs], "t string").select("t", sentences(F.col("t")).alias("s")).collect()
+    assert all(r.s == C.split_sentences(r.t) for r in rows)
+
+
+def test_limiter_over_pauses(spark):
+    """Histories cut at pauses against one loop over each."""
+    rng = np.random.default_rng(1)
+    rows = [(int(u), int(t)) for u in range(5) for t in np.cumsum(rng.choice([0, 1, 2, 3, 30], 200))]
+    got = {r.u: (r.n_events, r.n_accepted, r.s) for r in L.rate_limit(spark.createDataFrame(rows, "u long, t long").selectExpr("u", "timestamp_seconds(t) as ts"), "u", "ts", 3, 10).selectExpr("*", "unix_seconds(last_accepted) as s").collect()}
+    for u in range(5):
+        kept = []
+        for t in sorted(t for v, t in rows if v == u):
+            if sum(t - k < 10 for k in kept) < 3:
+                kept.append(t)
+        assert got[u] == (200, len(kept), kept[-1])

@@ -1,6 +1,7 @@
 import pytest
 
 from lode.operators import models as M
+from lode.sources.writers import pdf_bytes
 
 
 def test_catalogue_and_resolve(spark):
@@ -21,5 +22,17 @@ def test_clients(spark):
 def test_pdf_predicates(spark):
     pages = spark.createDataFrame([("a", 1, "", 1), ("a", 2, "x" * 50, 1), ("a", 3, " ", 2), ("b", 1, "", 0), ("a", 4, "x" * 90, 0)], "path string, page_no int, text string, n_images int")
     assert {r.path: r.scanned for r in M.scanned_pdfs(pages).collect()} == {"a": True, "b": False}
-    files = spark.createDataFrame([("p", bytearray(b"%PDF \xff trailer << /Encrypt 5 0 R >>")), ("q", bytearray(b"%PDF"))], "path string, content binary")
-    assert {r.path: r.encrypted for r in M.encrypted_pdfs(files).collect()} == {"p": True, "q": False}
+    files = spark.createDataFrame([("p", bytearray(pdf_bytes([["x"]], 0, "pw"))), ("q", bytearray(b"%PDF")), ("r", bytearray(pdf_bytes([["/Encrypt"]])))], "path string, content binary")
+    assert {r.path: r.encrypted for r in M.encrypted_pdfs(files).collect()} == {"p": True, "q": False, "r": False}
+
+
+def test_client_factory(monkeypatch):
+    monkeypatch.delenv("LODE_API_KEY", raising=False)
+
+    def broken(key):
+        raise OSError("no network")
+
+    assert M.client_for(lambda key: key.upper) is None and M.client_for(broken, "k") is None
+    assert M.client_for(lambda key: lambda prompt: prompt + key, "k")("p") == "pk"
+    monkeypatch.setenv("LODE_API_KEY", "e")
+    assert M.client_for(lambda key: lambda prompt: prompt + key)("p") == "pe"
