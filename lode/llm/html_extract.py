@@ -2,7 +2,7 @@
 
 A page is a sequence of leaf blocks. Each block is a vector: its tag path and its words, hashed, and
 a few measures. A bidirectional LSTM in numpy reads the whole sequence, so that a block is classed in
-the context of the document. The labeller is trained on made-up pages with known main text; the
+the context of the document. The labeller is trained, by one task, on made-up pages with known main text; the
 blocks that it classes as main text are joined by newlines.
 """
 
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_batches
@@ -28,6 +28,7 @@ STEPS = 260
 BATCH = 24
 #: Blocks labelled together, about; a longer page is labelled alone.
 GROUP = 4_096
+_known: dict[tuple[str, int], Labeller] = {}
 
 
 def vectors(page: list[Block]) -> np.ndarray:
@@ -156,6 +157,25 @@ def trained(seed: int = SEED) -> Labeller:
     return Labeller(seed).train(seed)
 
 
+def trained_by(spark: SparkSession, seed: int = SEED) -> Labeller:
+    """The labeller, trained by one task on an executor, once an application; the driver gets its weights, some hundred kB."""
+    key = spark.sparkContext.applicationId, seed
+    if key not in _known:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    p = trained(seed).p
+                    flat = [v.astype("<f4").tobytes() for v in p.values()]
+                    yield pa.RecordBatch.from_arrays([pa.array(list(p), pa.string()), pa.array([list(v.shape) for v in p.values()], pa.list_(pa.int64())), pa.array(flat, pa.binary())], names=["name", "shape", "data"])
+
+        rows = spark.range(0, 1, 1, 1).mapInArrow(run, "name string, shape array<long>, data binary").collect()
+        labeller = Labeller(seed)
+        labeller.p = {r["name"]: np.frombuffer(bytes(r["data"]), "<f4").reshape(r["shape"]) for r in rows}
+        _known[key] = labeller
+    return _known[key]
+
+
 def main_texts(pages: list[str | None], labeller: Labeller) -> list[str]:
     """The main text of each page; pages are labelled in groups of similar length."""
     found = [blocks(p) for p in pages]
@@ -184,7 +204,7 @@ def extract(pages: DataFrame, labeller: Labeller | None = None) -> DataFrame:
     their names.
     """
     arrow_batches(pages.sparkSession, 500)
-    held = pages.sparkSession.sparkContext.broadcast(labeller or trained())  # some hundred kB
+    held = pages.sparkSession.sparkContext.broadcast(labeller or trained_by(pages.sparkSession))  # some hundred kB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

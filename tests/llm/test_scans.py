@@ -6,7 +6,7 @@ import numpy as np
 
 from lode.llm.boosting import fit
 from lode.llm.html_blocks import blocks
-from lode.llm.html_extract import extract, main_texts, trained
+from lode.llm.html_extract import extract, main_texts, trained, trained_by
 from lode.llm.html_pages import Maker
 from lode.llm.licenses import BASE, COMMON, DRIFT, LEAST_VOTES, LEAST_WORDS, NOTICES, license_scan
 from lode.llm.quality import NAMES, classify, statistics
@@ -233,7 +233,8 @@ def test_lstm_gradients():
 
 
 def test_extract_made_up_and_table_pages(spark):
-    labeller = trained()
+    labeller = trained_by(spark)
+    assert all(np.allclose(v, labeller.p[k], atol=1e-3) for k, v in trained().p.items())
     maker = Maker(4242)
     pages = [maker.page() for _ in range(150)]
     right = sum(t == "\n".join(x for x, y in truth if y) for t, (_, truth) in zip(main_texts([p for p, _ in pages], labeller), pages, strict=True))
