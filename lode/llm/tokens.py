@@ -12,8 +12,9 @@ from __future__ import annotations
 import gc
 import re
 from array import array
+from collections.abc import Callable
 
-#: Cuts and pieces held in a worker; bounds its memory. When full, a cache starts again.
+#: Cuts and pieces held in a worker; bounds its memory.
 CUTS, PIECES = 500_000, 100_000
 _CUT = re.compile(r"(?<=\S)(?= )")
 #: Marks a cut that no blank stands before.
@@ -24,8 +25,9 @@ _ODD = tuple(c for c in map(chr, range(0x80, 0x3001)) if c.isspace())
 #: The printable character that stands for each byte in a byte-level vocabulary: itself, or the next from U+0100 on.
 _PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _BYTES = {b: chr(b) for b in _PRINTED} | {b: chr(0x100 + n) for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+_BLANK = _BYTES[0x20]
 #: A mark between a letter or digit and white space is a piece of its own, and is cut off.
-_MARK, _APART = re.compile(r"(?<=[^\W_])([,.])(?= |\n|\Z)"), f" {BARE}\\1"
+_MARK, _APART = re.compile(r"([,.])(?<=[^\W_].)(?= |\n|\Z)"), f" {BARE}\\1"
 
 
 def default_path() -> str:
@@ -55,7 +57,7 @@ class Encoder:
         # a piece needs the model alone: neither patterns nor special tokens apply inside it
         self.model = self.tokenizer.model.tokenize
         self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.cache: dict[str, bytes] = {}
+        self.cache = _Cuts(self.learn)
         self.pieces: dict[str, bytes] = {}
 
     @classmethod
@@ -73,62 +75,56 @@ class Encoder:
         return (BARE + _MARK.sub(_APART, text)).replace("\n", f" {BARE}\n {BARE}").split(" ")
 
     def _pieces(self, key: str) -> list[str]:
-        """Pieces of a cut, as the tokenizer makes them; the usual cuts need no pattern."""
-        bare = key[:1] == BARE
-        word = key[1:] if bare else key
-        if word.isalpha():
-            return [word if bare else " " + word]
-        return self.split(word if bare else " " + word)
+        """Pieces of a cut, as the tokenizer makes them."""
+        return self.split(key[1:] if key[:1] == BARE else " " + key)
 
     def _ids(self, piece: str) -> bytes:
+        """Ids of a piece by the model: each byte is written as its printed character."""
         return array("I", [t.id for t in self.model(piece.encode("utf-8", "replace").decode("latin-1").translate(_BYTES))]).tobytes()
 
-    def _learn(self, keys: list[str]) -> None:
-        """Adds keys to the cache; pieces of cuts that have several are kept apart, as they come in many cuts."""
-        known = self.pieces
-        for k in keys:
-            cut = self._pieces(k)
-            if len(cut) > 1:
-                for p in cut:
-                    if p not in known:
-                        known[p] = self._ids(p)
-                self.cache[k] = b"".join([known[p] for p in cut])
-            else:
-                self.cache[k] = self._ids(cut[0]) if cut else b""
+    def learn(self, key: str) -> bytes:
+        """Ids of a cut; pieces of cuts that have several are kept apart, as they come in many cuts."""
+        if key.isascii() and key.isalpha():  # the usual cut: a word after a blank, one piece
+            return array("I", [t.id for t in self.model(_BLANK + key)]).tobytes()
+        word = key[1:] if key[:1] == BARE else key
+        if word.isalpha():
+            return self._ids(word if word is not key else " " + key)
+        known, out = self.pieces, []
+        for p in self._pieces(key):
+            if p not in known:
+                known[p] = self._ids(p)
+            out.append(known[p])
+        return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > CUTS:
-            self.cache.clear()
+        if len(self.cache) > CUTS // 2:  # what is asked for again comes over from the older half
+            self.cache = _Cuts(self.learn, dict(self.cache))
         if len(self.pieces) > PIECES:
             self.pieces.clear()
         collects = gc.isenabled()
         gc.disable()  # many small objects, none of them in cycles
         try:
-            return self._encode(texts)
+            return [self._whole(t) if any(a in t for a in self.added) else b"".join(map(self.cache.__getitem__, self.cuts(t))) for t in texts]
         finally:
             if collects:
                 gc.enable()
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found, holes = [], []  # ids of each text's cuts, and where they are not known yet
-        for t in texts:
-            if any(a in t for a in self.added):
-                whole = t.encode("utf-8", "replace").decode()
-                found.append([array("I", self.tokenizer.encode(whole, add_special_tokens=False).ids).tobytes()])
-                continue
-            cut = self.cuts(t)
-            ids = list(map(self.cache.get, cut))
-            at = -1
-            try:
-                while True:
-                    at = ids.index(None, at + 1)
-                    holes.append((ids, at, cut[at]))
-            except ValueError:
-                found.append(ids)
-        self._learn(list({h[2] for h in holes}))
-        for ids, at, key in holes:
-            ids[at] = self.cache[key]
-        return [b"".join(ids) for ids in found]
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text.encode("utf-8", "replace").decode(), add_special_tokens=False).ids).tobytes()
+
+
+class _Cuts(dict):
+    """Cuts and their ids; those not met before, nor in ``old``, are learned as they are asked for."""
+
+    def __init__(self, learn: Callable[[str], bytes], old: dict[str, bytes] | None = None):
+        self.learn, self.old = learn, old or {}
+
+    def __missing__(self, key: str) -> bytes:
+        out = self.old.get(key)
+        if out is None:
+            out = self.learn(key)
+        self[key] = out
+        return out
 
 
 def text_groups(texts: list[str | None], most_chars: int = 2_000_000) -> list[tuple[int, list[str]]]:
