@@ -25,7 +25,9 @@ END_ID = 0
 #: Plans leave pieces shorter than these shares of a sequence to best fit. From a third on no pair or triple is left, and best fit decides.
 RESERVED = (0, 1 / 64, 1 / 32, 1 / 16, 1 / 8, 1 / 6, 0.2, 0.25, 0.28, 0.3, 0.32, 0.33, 1 / 3)
 #: Pieces of one length that are ranked in one task, about.
-RANKED = 50_000
+RANKED = 500
+#: Groups of pieces, besides one for each length, at most: their table stays small.
+MOST_GROUPS = 190_000
 
 
 def cut(n: int, size: int = SIZE) -> list[tuple[int, int]]:
@@ -180,11 +182,14 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, end_id: int
     arrow_batches(spark)
     scratch = Scratch(spark, "packing")
     table = scratch.table(pieces(docs, path or default_path(), size, end_id), "pieces")
-    n_salts = max(1, min(65_536, -(-table.count() // RANKED)))
-    salted = table.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n_salts)).cast("int"))
-    # rows of a length are ranked in salted groups, each beginning where the one before ends
+    # rows of a length are ranked in salted groups, each beginning where the one before ends; a length has a
+    # group for every RANKED of its pieces, or more where that made over MOST_GROUPS, so that no group is hot
+    counts = scratch.table(table.groupBy("length").agg(F.count(F.lit(1)).alias("n")), "counts")  # at most ``size`` rows
+    histogram = {r["length"]: r["n"] for r in counts.collect()}
+    per = max(RANKED, -(-sum(histogram.values()) // MOST_GROUPS))
+    salts = counts.select("length", F.ceil(F.col("n") / F.lit(per)).alias("salts"))
+    salted = table.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "salts").cast("int")).drop("salts")
     groups = scratch.table(salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")), "groups")
-    histogram = {r["length"]: r["n"] for r in groups.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``size`` rows
     base = groups.withColumn("base", F.expr("sum(n) over (partition by length order by salt rows between unbounded preceding and current row) - n")).select("length", "salt", "base")
     ranked = salted.withColumn("r", F.expr("row_number() over (partition by length, salt order by doc_id, piece, ids_crc32)"))
     ranked = ranked.join(small(base, groups.count()), ["length", "salt"]).withColumn("rank", F.col("r") - 1 + F.col("base"))
