@@ -9,6 +9,9 @@ from .common import BROADCAST_ROWS, Scratch
 
 #: Edges of a node from which on it is a hub; more where so many nodes could be hubs that they were no small table.
 HUB = 200
+NAMES = "stars-a", "stars-b"
+#: The tables of the steps; the result reads the last one.
+STEPS = "stars-0", *(f"{n}-{part}" for n in NAMES for part in ("least", "large", "down", "small"))
 
 
 def _linked(edges: DataFrame) -> DataFrame:
@@ -33,11 +36,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     Minima are pre-aggregated before each shuffle; hubs get theirs by broadcast.
     """
-    names = ["stars-a", "stars-b"]
     state, before = scratch.table(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars-0"), None
     hub = max(HUB, 2 * state.count() // BROADCAST_ROWS + 1)
     for step in range(200):
-        name = names[step % 2]
+        name = NAMES[step % 2]
         both = _linked(state)
         least = scratch.table(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n")), f"{name}-least")
         large = _with_least(both.filter("v > u"), least, hub).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")

@@ -90,7 +90,7 @@ def _grouped(rows: DataFrame, scratch: Scratch, block_bytes: int) -> DataFrame:
     named = scratch.table(block_identities(blocks.select("row", "n", "pos", "block"), scratch), "named")
     members = blocks.filter("pos = 0").select("row", "of.doc_id", "of.sha")
     members = scratch.table(members.join(named, "row"), "members")
-    scratch.drop("blocks", "named")
+    scratch.drop("blocks", "named", "names-0", *(f"named-{k}" for k in range(64)))
     # of rows with the largest id, the first stays; maxima are formed before the shuffle
     stays = F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", (-F.col("row")).alias("r")))
     groups = scratch.table(members.groupBy("level", "name").agg(stays.alias("s"), F.count(F.lit(1)).alias("group_size")), "groups")

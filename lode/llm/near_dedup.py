@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import LOWER, UPPER, Scratch, arrow_batches, small, unused
-from .components import components
+from .components import STEPS, components
 
 BITS = 64
 MOST_BITS = 4
@@ -234,6 +234,7 @@ def rooted(points: DataFrame, scratch: Scratch, chunk: int = CHUNK, few: int = F
     """Distinct fingerprints (fp, least) -> fp, least, root: equal roots are one component."""
     edges = scratch.table(near_links(points, points.count(), scratch, chunk, few), "edges")
     roots = scratch.table(components(edges, scratch), "roots")
+    scratch.drop("edges", "hot-anchors", *STEPS)
     return points.join(roots, points.fp == roots.u, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
 
 
@@ -253,6 +254,7 @@ def near_dedup(docs: DataFrame, chunk: int = CHUNK, few: int = FEW_POINTS) -> Da
     found = rooted(points, scratch, chunk, few)
     least = found.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = scratch.table(found.join(least, "root").select("fp", "component_id"), "by-fp")
+    scratch.drop("points", "roots")
     return fps.join(by_fp, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -283,5 +285,5 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     stays = found.groupBy("root").agg(F.min("least")["row"].alias("stays"))
     by_fp = scratch.table(found.join(stays, "root").select("fp", "stays"), "by-fp")
     gone = scratch.table(light.join(by_fp, "fp").filter("row <> stays").select(F.col("row").alias(gone_)), "gone")
-    scratch.drop("points", "edges", "roots", "by-fp")
+    scratch.drop("points", "roots", "by-fp")
     return rows.join(small(gone, gone.count()), F.col(row_) == F.col(gone_), "left_anti").select(*docs.columns)
