@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,32 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{path}"
 
 
+_collecting: list[list[Scratch]] = []
+
+
+@contextlib.contextmanager
+def collected() -> Iterator[list[Scratch]]:
+    """A list of the scratch folders that are opened inside."""
+    made: list[Scratch] = []
+    _collecting.append(made)
+    try:
+        yield made
+    finally:
+        _collecting.remove(made)
+
+
+def free(folders: list[Scratch], docs: DataFrame) -> list[Scratch]:
+    """Deletes those of the folders that ``docs`` does not read; returns the others."""
+    if not folders:
+        return []
+    read = docs.inputFiles()
+    kept = [f for f in folders if any(f.name in path for path in read)]
+    for f in folders:
+        if f not in kept:
+            f.drop("")
+    return kept
+
+
 class Scratch:
     """Written tables of one operator run, in a folder of their own below the shared folder.
 
@@ -40,10 +68,13 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.name = f"{name}-{uuid.uuid4().hex}"
+        self.root = f"{shared_dir(spark)}/{self.name}"
+        for made in _collecting:
+            made.append(self)
 
     def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
+        return f"{self.root}/{name}" if name else self.root
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(self.path(name))
