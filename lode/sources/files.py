@@ -46,7 +46,7 @@ DESCRIBE, DESCRIBED = "spark.lode.describeImages", ("pdf", "docx", "pptx")
 
 def checked(path: str) -> str:
     """A path that may be read: absolute, or a URI, or below the temporary folder."""
-    inside = os.path.realpath(path).startswith(os.path.realpath(tempfile.gettempdir()))
+    inside = os.path.realpath(path).startswith(os.path.realpath(tempfile.gettempdir()) + os.sep)
     if not (os.path.isabs(path) or inside or re.match(r"[a-z][a-z0-9+.-]*:/", path, re.I)):
         raise ValueError(f"Invalid file path: {path}")
     return path

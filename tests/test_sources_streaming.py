@@ -55,7 +55,8 @@ def test_size_guard(spark, tmp_path):
     assert got(50) == {"a b.csv": None, "a ü.csv": "File is empty"}
 
 
-def test_path_guard(tmp_path):
+def test_path_guard(tmp_path, monkeypatch):
+    monkeypatch.chdir("/")
     assert S.checked(str(tmp_path)) and S.checked("hdfs://x/y")
     with pytest.raises(ValueError):
         S.checked("somewhere/else")
