@@ -121,14 +121,15 @@ def best_fit(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], i
             if len(fits):
                 gap = length + int(fits[0])
                 contents, there = open_[gap].popitem()
-                n, times = min(there, left), 1
+            else:
+                gap, contents, there = size, (), left
+            times = min(left, gap // length)  # a sequence that took a piece has the least gap for the next, while that holds it
+            n = min(there, left // times)
+            if len(fits):
                 if n < there:
                     open_[gap][contents] = there - n
                 elif not open_[gap]:
                     gaps[gap] = False
-            else:  # new sequences, each filled with as many of the pieces as fit: what best fit does one by one
-                gap, contents, times = size, (), min(left, size // length)
-                n = left // times
             left -= n * times
             gap -= times * length
             open_.setdefault(gap, Counter())[contents + (length,) * times] += n
