@@ -287,9 +287,33 @@ def l2_normalise_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.sqrt(dot(e, e)), 6).alias("norm_before"), F.round(F.sqrt(dot(n, n)), 6).alias("norm_after"))
 
 
-@query()
+def _axis(name: str, start: str, squarings: int = 16) -> str:
+    """CTEs: the first axis of the symmetric matrix ``start`` (i, j, v), by squaring it, as ``name`` (i, v)."""
+    steps = [f"{name}0 AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM {start} WHERE i = j) AS v FROM {start})"]
+    for k in range(squarings):
+        steps.append(f"{name}{k}s AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {name}{k} a JOIN {name}{k} b ON a.j = b.i GROUP BY 1, 2)")
+        steps.append(f"{name}{k + 1} AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM {name}{k}s WHERE i = j) AS v FROM {name}{k}s)")
+    last = f"{name}{squarings}"
+    steps.append(f"{name}c AS (SELECT i, v FROM {last} WHERE j = (SELECT arg_max(i, v) FROM {last} WHERE i = j))")
+    steps.append(f"{name} AS MATERIALIZED (SELECT i, v / (SELECT sqrt(sum(v * v)) * sign(arg_max(v, abs(v))) FROM {name}c) AS v FROM {name}c)")
+    return ", ".join(steps)
+
+
+#: The covariance, its first axis, and the first axis of what that one leaves.
+PCA = f"""WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+    z AS MATERIALIZED (SELECT vec_id, i, x - avg(x) OVER (PARTITION BY i) AS x FROM e),
+    cov AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.x * b.x) AS v FROM z a JOIN z b ON a.vec_id = b.vec_id GROUP BY 1, 2),
+    {_axis("p", "cov")},
+    size AS (SELECT sum(c.v * a.v * b.v) AS l FROM cov c JOIN p a ON a.i = c.i JOIN p b ON b.i = c.j),
+    rest AS MATERIALIZED (SELECT c.i, c.j, c.v - l * a.v * b.v AS v FROM cov c JOIN p a ON a.i = c.i JOIN p b ON b.i = c.j, size),
+    {_axis("q", "rest")}
+    SELECT vec_id AS id, round(sum(z.x * p.v), 6) AS x, round(sum(z.x * q.v), 6) AS y FROM z JOIN p ON p.i = z.i JOIN q ON q.i = z.i GROUP BY 1"""
+
+
+@query(PCA)
 def pca_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.pca2(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"))
+    projected = R.pca2(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"))
+    return projected.select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 VIEW = f"""WITH {HYBRID}, f AS (SELECT doc_id AS chunk_id, text, doc_id IN (SELECT chunk_id FROM top) AS matched FROM documents ORDER BY doc_id LIMIT 200)
