@@ -18,31 +18,33 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, lower_ascii, small, unused
+from .common import Scratch, lower_ascii, matched, small, unused
 
 BLOCK_BYTES = 4096
 #: Blocks are sorted by so many first bytes, then by a hash, so that blocks that begin alike are dealt
 #: to several partitions too, then by all their bytes.
 PREFIX_BYTES = 32
+#: Names of frequent blocks that are broadcast, at most: with their blocks some 8 MB.
+FREQUENT_BLOCKS = 2_000
 ALONE = -1
 
 
 def _numbered(keys: DataFrame, scratch: Scratch, name: str, cols: list[str], by: list[Column] | None = None) -> DataFrame:
-    """Distinct keys with their places in the sorted order of all, as ``name``: in the order of ``by``, then of the keys.
+    """Distinct keys, the number ``times`` of each, and their places in the sorted order of all, as ``name``: in the order of ``by``, then of the keys.
 
     A range sort gives each partition a run of keys; a key's place is its place in the run and the
     lengths of the runs before. The table of runs has a row per partition. Ranges are cut at values of
     ``by`` that Spark samples, so these should be short.
     """
     by = by or [F.col(c) for c in cols]
-    ranged = keys.select(*cols).distinct().repartitionByRange(*by).sortWithinPartitions(*by, *cols)
+    ranged = keys.groupBy(*cols).agg(F.count(F.lit(1)).alias("times")).repartitionByRange(*by).sortWithinPartitions(*by, *cols)
     # the number has the partition in its upper bits and the place in the partition in its lower 33
     runs = scratch.table(ranged.withColumn("at", F.monotonically_increasing_id()), f"{name}-runs")
     part = F.shiftright("at", 33)
     lengths = runs.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
     before = lengths.select("part", F.expr("sum(n) over (order by part rows between unbounded preceding and current row) - n").alias("before"))
     place = F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    out = scratch.table(runs.withColumn("part", part).join(F.broadcast(before), "part").select(*cols, place.alias("name")), name)
+    out = scratch.table(runs.withColumn("part", part).join(F.broadcast(before), "part").select(*cols, "times", place.alias("name")), name)
     scratch.drop(f"{name}-runs")
     return out
 
@@ -54,8 +56,11 @@ def block_identities(blocks: DataFrame, scratch: Scratch) -> DataFrame:
     longest text.
     """
     names = _numbered(blocks, scratch, "names-0", ["block"], [F.substring("block", 1, PREFIX_BYTES), F.xxhash64("block")])
-    most = blocks.agg(F.max("n")).first()[0] or 1
-    current, done, level = scratch.table(blocks.join(names, "block").select("row", "n", "pos", "name"), "named-0"), [], 0
+    longest, total = blocks.agg(F.max("n"), F.count(F.lit(1))).first()
+    most = longest or 1
+    at = F.xxhash64("row", "pos")
+    named = matched(blocks, names, ["block"], "times", total, at, FREQUENT_BLOCKS)
+    current, done, level = scratch.table(named.select("row", "n", "pos", "found.name"), "named-0"), [], 0
     for level in range(1, math.ceil(math.log2(most)) + 1 if most > 1 else 1):
         # a text that had one name before this level is named already
         done.append(current.filter("n = 1").select("row", F.lit(level).alias("level"), "name"))
@@ -65,7 +70,7 @@ def block_identities(blocks: DataFrame, scratch: Scratch) -> DataFrame:
         )
         pairs = scratch.table(pairs, f"pairs-{level}")
         names = _numbered(pairs, scratch, f"names-{level}", ["a", "b"])
-        current = scratch.table(pairs.join(names, ["a", "b"]).select("row", F.expr("(n + 1) div 2").cast("int").alias("n"), "pos", "name"), f"named-{level}")
+        current = scratch.table(matched(pairs, names, ["a", "b"], "times", total, at).select("row", F.expr("(n + 1) div 2").cast("int").alias("n"), "pos", "found.name"), f"named-{level}")
         scratch.drop(f"names-{level}", f"pairs-{level}")
     done.append(current.filter("n = 1").select("row", F.lit(level + 1).alias("level"), "name"))
     out = done[0]
@@ -78,13 +83,13 @@ def _grouped(rows: DataFrame, scratch: Scratch, block_bytes: int) -> DataFrame:
     """(row, doc_id, text) -> row, doc_id, sha, keep_id, keep_row, group_size. Columns may come anew on each reading but row's order."""
     keyed = rows.select("row", "doc_id", lower_ascii(F.col("text")).cast("binary").alias("bytes")).select("*", F.length("bytes").alias("len"), F.xxhash64("bytes").alias("h"))
     every = scratch.table(keyed.select("row", "doc_id", "len", "h", F.sha2("bytes", 256).alias("sha")), "rows")
-    shared = scratch.table(every.groupBy("len", "h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("len", "h"), "shared")
-    n_shared = shared.count()
-    alone = every.join(small(shared, n_shared), ["len", "h"], "left_anti")
+    shared = scratch.table(every.groupBy("len", "h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "shared")
+    total = every.count()
+    alone = matched(every, shared, ["len", "h"], "c", total, F.xxhash64("row")).filter("found is null")
     alone = alone.select("row", "doc_id", "sha", F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"), F.lit(1).cast("long").alias("group_size"))
     n = F.greatest(F.lit(1), F.ceil(F.length("bytes") / F.lit(block_bytes))).cast("int")
     cut = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring(F.col("bytes"), i * block_bytes + 1, F.lit(block_bytes)))
-    partners = keyed.join(small(shared, n_shared), ["len", "h"], "left_semi").withColumn("n", n)
+    partners = matched(keyed, shared, ["len", "h"], "c", total, F.xxhash64("row")).filter("found is not null").withColumn("n", n)
     partners = partners.select("row", "doc_id", "n", F.sha2("bytes", 256).alias("sha"), F.posexplode(cut).alias("pos", "block"))
     blocks = scratch.table(partners.select("row", "n", "pos", "block", F.when(F.col("pos") == 0, F.struct("doc_id", "sha")).alias("of")), "blocks")
     named = scratch.table(block_identities(blocks.select("row", "n", "pos", "block"), scratch), "named")
@@ -94,8 +99,8 @@ def _grouped(rows: DataFrame, scratch: Scratch, block_bytes: int) -> DataFrame:
     # of rows with the largest id, the first stays; maxima are formed before the shuffle
     stays = F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", (-F.col("row")).alias("r")))
     groups = scratch.table(members.groupBy("level", "name").agg(stays.alias("s"), F.count(F.lit(1)).alias("group_size")), "groups")
-    together = members.join(small(groups, groups.count()), ["level", "name"])
-    together = together.select("row", "doc_id", "sha", F.col("s.doc_id").alias("keep_id"), (-F.col("s.r")).alias("keep_row"), "group_size")
+    together = matched(members, groups, ["level", "name"], "group_size", total, F.xxhash64("row"))
+    together = together.select("row", "doc_id", "sha", F.col("found.s.doc_id").alias("keep_id"), (-F.col("found.s.r")).alias("keep_row"), "found.group_size")
     return together.unionByName(alone)
 
 

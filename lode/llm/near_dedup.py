@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import LOWER, UPPER, Scratch, arrow_batches, small, unused
+from .common import LOWER, UPPER, Scratch, arrow_batches, matched, small, unused
 from .components import STEPS, components
 
 BITS = 64
@@ -230,12 +230,20 @@ def near_links(points: DataFrame, n_points: int, scratch: Scratch, chunk: int =
     return placed.repartition("anchor", "p", "q").sortWithinPartitions("anchor", "p", "q", "visit").mapInArrow(_compared, "u long, v long").distinct()
 
 
-def rooted(points: DataFrame, scratch: Scratch, chunk: int = CHUNK, few: int = FEW_POINTS) -> DataFrame:
-    """Distinct fingerprints (fp, least) -> fp, least, root: equal roots are one component."""
-    edges = scratch.table(near_links(points, points.count(), scratch, chunk, few), "edges")
+def rooted(points: DataFrame, stays: str, scratch: Scratch, chunk: int = CHUNK, few: int = FEW_POINTS) -> DataFrame:
+    """Distinct fingerprints (fp, least, n) -> fp, n, first: the least ``stays`` of all points of the component.
+
+    ``stays`` is an expression over ``least``. ``n`` is carried: the number of rows of a fingerprint.
+    """
+    n_points = points.count()
+    edges = scratch.table(near_links(points, n_points, scratch, chunk, few), "edges")
     roots = scratch.table(components(edges, scratch), "roots")
     scratch.drop("edges", "hot-anchors", *STEPS)
-    return points.join(roots, points.fp == roots.u, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    found = scratch.table(points.join(roots, points.fp == roots.u, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "rooted")
+    firsts = scratch.table(found.groupBy("root").agg(F.expr(stays).alias("first"), F.count(F.lit(1)).alias("points")), "firsts")
+    out = scratch.table(matched(found, firsts, ["root"], "points", n_points, F.col("fp")).select("fp", "n", "found.first"), "by-fp")
+    scratch.drop("points", "roots", "rooted", "firsts")
+    return out
 
 
 def near_dedup(docs: DataFrame, chunk: int = CHUNK, few: int = FEW_POINTS) -> DataFrame:
@@ -250,12 +258,10 @@ def near_dedup(docs: DataFrame, chunk: int = CHUNK, few: int = FEW_POINTS) -> Da
     arrow_batches(spark)
     scratch = Scratch(spark, "near-dedup")
     fps = scratch.table(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints, "doc_id long, fp long"), "fps")
-    points = scratch.table(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
-    found = rooted(points, scratch, chunk, few)
-    least = found.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = scratch.table(found.join(least, "root").select("fp", "component_id"), "by-fp")
-    scratch.drop("points", "roots")
-    return fps.join(by_fp, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    points = scratch.table(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "points")
+    by_fp = rooted(points, "min(least)", scratch, chunk, few)
+    found = matched(fps, by_fp, ["fp"], "n", fps.count(), F.monotonically_increasing_id())
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("found.first").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
@@ -281,9 +287,8 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     rows = scratch.table(printed.withColumn(row_, F.monotonically_increasing_id()), "rows")
     light = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(fp_).alias("fp"), F.col(row_).alias("row"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "row"))
-    found = rooted(scratch.table(light.groupBy("fp").agg(first.alias("least")), "points"), scratch)
-    stays = found.groupBy("root").agg(F.min("least")["row"].alias("stays"))
-    by_fp = scratch.table(found.join(stays, "root").select("fp", "stays"), "by-fp")
-    gone = scratch.table(light.join(by_fp, "fp").filter("row <> stays").select(F.col("row").alias(gone_)), "gone")
-    scratch.drop("points", "roots", "by-fp")
+    by_fp = rooted(scratch.table(light.groupBy("fp").agg(first.alias("least"), F.count(F.lit(1)).alias("n")), "points"), "min(least).row", scratch)
+    found = matched(light, by_fp, ["fp"], "n", light.count(), F.xxhash64("row"))
+    gone = scratch.table(found.filter("row <> found.first").select(F.col("row").alias(gone_)), "gone")
+    scratch.drop("by-fp")
     return rows.join(small(gone, gone.count()), F.col(row_) == F.col(gone_), "left_anti").select(*docs.columns)

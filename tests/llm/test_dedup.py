@@ -37,6 +37,32 @@ def test_exact(request, table, block):
     assert all(g.doc_id == g.keep_id for g in got if g.kept)
 
 
+def test_matched_finds_all_keys(spark):
+    """Hot keys by broadcast and the others by a join, each row of a left table once, with null keys and keys that have no match."""
+    from collections import Counter
+
+    from lode.llm.common import matched
+
+    keys = [(1, "a")] * 300 + [(1, "b")] * 40 + [(k, "c") for k in range(60)] + [(None, "a"), (7, None)]
+    rows = spark.createDataFrame([(i, *k) for i, k in enumerate(keys)], "row long, k long, s string").repartition(5)
+    number = Counter(k for k in keys if None not in k and k[0] % 3 != 2)
+    table = spark.createDataFrame([(*k, n, f"{k[0]}{k[1]}") for k, n in number.items()], "k long, s string, n long, value string")
+    for most in (1, 3, 1000):
+        for spread in (F.col("row"), F.monotonically_increasing_id()):
+            got = matched(rows, table, ["k", "s"], "n", len(keys), spread, most).select("row", "k", "s", "found.value").collect()
+            assert sorted(got) == [(i, *k, f"{k[0]}{k[1]}" if k in number else None) for i, k in enumerate(keys)], most
+
+
+def test_without_small_tables(sample, monkeypatch):
+    """The same results where no table is small enough to be broadcast whole."""
+    import lode.llm.common as common
+
+    results = [exact_dedup, near_dedup, drop_exact_copies, drop_near_copies]
+    want = [sorted(map(str, f(sample).collect())) for f in results]
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 3)
+    assert [sorted(map(str, f(sample).collect())) for f in results] == want
+
+
 def test_exact_drop(odd, empty):
     rows = odd.collect()
     left = drop_exact_copies(odd)
