@@ -16,6 +16,7 @@ repeated tasks, on any file system that Spark writes to; they are read back as b
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -37,6 +38,8 @@ FILE_BLOCKS = 24
 #: Parts (tasks of the writer) whose files are summed together.
 SUMMED_PARTS = 1_024
 ENDED = b"\0"
+#: Number of the part and, in it, of the file.
+FILE_NAME = re.compile(r"part-(\d+)-[^/]*-c(\d+)[^/]*$")
 #: Lengths of the four values that a control byte stands for, first value in the lowest bits.
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
 
@@ -146,22 +149,23 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = False) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, chunk, content in zip(*(b.column(i) for i in range(3)), strict=True):
+            for path, content in zip(*(b.column(i) for i in range(2)), strict=True):
+                part, chunk = map(int, FILE_NAME.search(path.as_py()).groups())
                 place, local = 0, 0
                 for doc_ids, lengths, ids in read_blocks(content.as_py()):
                     ends = np.cumsum(lengths)
                     raw = ids.astype("<u4").tobytes()
                     crc = [zlib.crc32(raw[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), lengths.tolist(), strict=True)]
                     n = len(doc_ids)
-                    cols = [pa.array(np.full(n, part.as_py(), np.int32)), pa.array(np.full(n, chunk.as_py(), np.int32)), pa.array(np.arange(place, place + n)), pa.array(local + ends - lengths), pa.array(doc_ids, pa.int64()), pa.array(lengths), pa.array(crc, pa.int64())]
+                    cols = [pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, chunk, np.int32)), pa.array(np.arange(place, place + n)), pa.array(local + ends - lengths), pa.array(doc_ids, pa.int64()), pa.array(lengths), pa.array(crc, pa.int64())]
                     if with_ids:
                         cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.uint32()).cast(pa.int64())))
                     yield pa.RecordBatch.from_arrays(cols, names=["part", "chunk", "place", "local", "doc_id", "n_tokens", "ids_crc32", *["ids"] * with_ids])
                     place, local = place + n, local + int(lengths.sum())
 
     files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
-    named = files.select(F.regexp_extract("path", r"part-(\d+)-", 1).cast("int").alias("part"), F.regexp_extract("path", r"-c(\d+)[^/]*$", 1).cast("int").alias("chunk"), "content")
-    return named.mapInArrow(run, "part int, chunk int, place long, local long, doc_id long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    # nothing is computed before Python: a projection would copy the contents
+    return files.select("path", "content").mapInArrow(run, "part int, chunk int, place long, local long, doc_id long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
 def token_index(docs: DataFrame, path: str | None = None, end_id: int = END_ID, block_ids: int = BLOCK_IDS, file_blocks: int = FILE_BLOCKS) -> DataFrame:

@@ -163,3 +163,11 @@ def test_special_tokens_in_texts():
     got = Encoder.at(default_path()).encode(texts)
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [fresh.encode(t, add_special_tokens=False).ids for t in texts]
     assert np.frombuffer(got[0], "<u4").tolist() == [64, 220, 50256, 275]
+
+
+def test_numbers_of_files(spark, tmp_path):
+    """The name that a writer gives may have -c and a digit before its end."""
+    block = encode_block([1, 2], [np.array([5, 2], "<u4").tobytes()] * 2) + b"\0"
+    for c in (0, 2):
+        (tmp_path / f"part-00003-c1bbcc5c-c123-4fd2-a120-c1856f01620f-c{c:03}.txt").write_bytes(block)
+    assert sorted((r.part, r.chunk, r.place) for r in read_tokens(spark, f"file://{tmp_path}").collect()) == [(3, c, k) for c in (0, 2) for k in (0, 1)]
