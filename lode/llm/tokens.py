@@ -14,8 +14,10 @@ import re
 from array import array
 from collections.abc import Callable
 
-#: Cuts and pieces held in a worker; bounds its memory.
-CUTS, PIECES = 500_000, 100_000
+#: Bytes of cuts and of pieces held in a worker, of whatever length they are; bounds its memory.
+CUT_BYTES, PIECE_BYTES = 80 << 20, 32 << 20
+#: Bytes that an entry takes besides its characters and ids.
+ENTRY_BYTES = 110
 _CUT = re.compile(r"(?<=\S)(?= )")
 #: Marks a cut that no blank stands before.
 BARE = "\0"
@@ -57,8 +59,8 @@ class Encoder:
         # a piece needs the model alone: neither patterns nor special tokens apply inside it
         self.model = self.tokenizer.model.tokenize
         self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.cache = _Cuts(self.learn)
-        self.pieces: dict[str, bytes] = {}
+        self.cache = _Held(self.learn, CUT_BYTES)
+        self.pieces = _Held(self._ids, PIECE_BYTES)
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -89,18 +91,9 @@ class Encoder:
         word = key[1:] if key[:1] == BARE else key
         if word.isalpha():
             return self._ids(word if word is not key else " " + key)
-        known, out = self.pieces, []
-        for p in self._pieces(key):
-            if p not in known:
-                known[p] = self._ids(p)
-            out.append(known[p])
-        return b"".join(out)
+        return b"".join(map(self.pieces.__getitem__, self._pieces(key)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > CUTS // 2:  # what is asked for again comes over from the older half
-            self.cache = _Cuts(self.learn, dict(self.cache))
-        if len(self.pieces) > PIECES:
-            self.pieces.clear()
         collects = gc.isenabled()
         gc.disable()  # many small objects, none of them in cycles
         try:
@@ -113,16 +106,31 @@ class Encoder:
         return array("I", self.tokenizer.encode(text.encode("utf-8", "replace").decode(), add_special_tokens=False).ids).tobytes()
 
 
-class _Cuts(dict):
-    """Cuts and their ids; those not met before, nor in ``old``, are learned as they are asked for."""
+class _Held(dict):
+    """Strings and their ids, learned as they are asked for, within ``most`` bytes also inside one text.
 
-    def __init__(self, learn: Callable[[str], bytes], old: dict[str, bytes] | None = None):
-        self.learn, self.old = learn, old or {}
+    When half of these are full, the entries become ``old`` and the old ones go; what is asked for
+    again comes over. A string that alone would take a good part is learned each time.
+    """
+
+    def __init__(self, learn: Callable[[str], bytes], most: int):
+        self.learn, self.half, self.left = learn, most // 2, most // 2
+        self.long = self.half // 64
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, key: str) -> bytes:
         out = self.old.get(key)
         if out is None:
             out = self.learn(key)
+        size = ENTRY_BYTES + len(key) + 2 * len(out)  # wide characters have as many bytes of ids as of their own, or more
+        if size > self.long:
+            return out
+        self.left -= size
+        if self.left < 0:
+            self.old = {}  # before the copy, which then takes its place
+            self.old = dict(self)
+            self.clear()
+            self.left = self.half - size
         self[key] = out
         return out
 

@@ -165,6 +165,32 @@ def test_special_tokens_in_texts():
     assert np.frombuffer(got[0], "<u4").tolist() == [64, 220, 50256, 275]
 
 
+def test_memory_of_an_encoder_is_bounded():
+    """Words that never come again, long ones and many in one text, take no more than the bound."""
+    import tracemalloc
+
+    e = Encoder(default_path())
+    tracemalloc.start()
+    try:
+        e.encode([" ".join(f"{i}{'q' * 2_000}" for i in range(20_000))])
+        e.encode([f"{i}{'q' * 2_000}" for i in range(20_000, 40_000)])
+        held, _ = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert held < 130 << 20
+
+
+def test_ids_with_a_small_cache(fresh, monkeypatch):
+    """Entries that go inside a text are learned again."""
+    from lode.llm import tokens
+
+    monkeypatch.setattr(tokens, "CUT_BYTES", 20_000)
+    monkeypatch.setattr(tokens, "PIECE_BYTES", 10_000)
+    texts = [" ".join(f"word{i * k % 601}, it's \u00e4pfel{i % 7}" for i in range(900)) for k in (1, 7, 13)] + ["x" * 50_000]
+    got = tokens.Encoder(default_path()).encode(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_numbers_of_files(spark, tmp_path):
     """The name that a writer gives may have -c and a digit before its end."""
     block = encode_block([1, 2], [np.array([5, 2], "<u4").tobytes()] * 2) + b"\0"
